@@ -154,7 +154,7 @@ class Vocabulary:
     """A tokenizers JSON file with our own merges and store of encoded words."""
 
     def __init__(self, path: str, engine: str = "trie"):
-        """engine: "trie" for the walk above, "library" to let the tokenizers library encode each distinct word."""
+        """engine: "trie" for the walk above, "library" to let the tokenizers library merge each distinct word, when it first comes."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -176,7 +176,7 @@ class Vocabulary:
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
         self.decoder = spec["decoder"]
         self.names = self.merges.names | {i: t for t, i in self.added.items()}
-        self.ids = _Store()
+        self.ids = _Store(self)
         self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
 
     def words(self, text: str) -> list[str] | None:
@@ -191,16 +191,7 @@ class Vocabulary:
         return SPACED.findall(text) if self.spaced else WORDS.findall(text.lower())
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that aren't stored."""
-        if not words:
-            return
-        if len(self.ids) + len(words) > CACHE:
-            self.ids.clear()
-        if self.engine == "library":
-            todo = list(words)
-            for word, e in zip(todo, self.library.encode_batch(todo, add_special_tokens=False), strict=True):
-                self.ids[word] = _pack(e.ids)
-            return
+        """Encode words that aren't stored by one walk over their trie."""
         vocab = self.merges.vocab
         names = {word: word.encode().decode("latin-1").translate(self.table) for word in words}
         found = self.merges.encode_words(list(names.values()))
@@ -220,7 +211,7 @@ class Vocabulary:
 
     def _join(self, parts: list) -> bytes:
         ids = self.ids
-        return b"".join([_pack([self.added[p]]) if isinstance(p, str) else b"".join([ids[w] for w in p]) for p in parts])
+        return b"".join([_pack([self.added[p]]) if isinstance(p, str) else b"".join(map(ids.__getitem__, p)) for p in parts])
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers. Words that aren't stored are encoded together, for the texts of about PIECE characters."""
@@ -235,20 +226,29 @@ class Vocabulary:
             if held > PIECE:  # one very long text, a piece at a time
                 out = []
                 for part in self._parts(group[0]):
-                    self.learn({w for w in part if w not in ids} if not isinstance(part, str) else set())
+                    self._learn_parts([[part]])
                     out.append(self._join([part]))
                 yield b"".join(out)
                 continue
             parts = [list(self._parts(t)) for t in group]
-            ids.missing = set()
-            got = [self._join(p) for p in parts]
-            if ids.missing:
-                if len(ids) + len(ids.missing) > CACHE:
-                    ids.clear()
-                    ids.missing.update(w for p in parts for part in p if not isinstance(part, str) for w in part)
-                self.learn(ids.missing)
-                got = [self._join(p) for p in parts]
-            yield from got
+            self._learn_parts(parts)
+            for own in parts:
+                yield self._join(own)
+
+    def _learn_parts(self, parts: list[list]) -> None:
+        if self.engine == "library":
+            return
+        ids = self.ids
+        words: set[str] = set()
+        for own in parts:
+            for part in own:
+                if not isinstance(part, str):
+                    words.update(part)
+        missing = {w for w in words if w not in ids}
+        if len(ids) + len(missing) > CACHE:
+            ids.clear()
+            missing = words
+        self.learn(missing)
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with skip_special_tokens=False: names joined by spaces, or bytes put together again where the file has a byte-level decoder."""
@@ -260,13 +260,20 @@ class Vocabulary:
 
 
 class _Store(dict):
-    """Encoded words; notes those that it lacks."""
+    """Encoded words. With the library as the engine, it adds a word when asked for it."""
 
-    missing: set[str] = set()
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> bytes:
-        self.missing.add(word)
-        return b""
+        v = self.vocabulary
+        if v.engine != "library":
+            raise KeyError(word)
+        if len(self) >= CACHE:
+            self.clear()
+        name = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(v.table)
+        found = self[word] = _pack([t.id for t in v.library.model.tokenize(name)])
+        return found
 
 
 def _pieces(text: str) -> Iterator[str]:
