@@ -45,12 +45,16 @@ def build(tokens: np.ndarray, ids: list[int | None], lengths: list[int], bits: i
     import zstandard
 
     out = [np.array([np.iinfo(np.int64).min if i is None else i for i in ids], dtype="<i8").tobytes(), np.array(lengths, dtype="<u8").tobytes()]
-    now = tokens.astype(np.uint32)
+    kind = np.uint16 if bits <= 16 else np.uint32
+    now = tokens.astype(kind)
     for bit in range(bits - 1, -1, -1):
-        one = (now >> np.uint32(bit)) & np.uint32(1) == 1
-        zeros = now[~one]
-        out += [struct.pack("<Q", len(zeros)), np.packbits(one, bitorder="little").tobytes()]
-        now = np.concatenate([zeros, now[one]])
+        one = (now & kind(1 << bit)).astype(bool)
+        zeros = len(now) - int(np.count_nonzero(one))
+        out += [struct.pack("<Q", zeros), np.packbits(one, bitorder="little").tobytes()]
+        dealt = np.empty_like(now)
+        np.compress(~one, now, out=dealt[:zeros])
+        np.compress(one, now, out=dealt[zeros:])
+        now = dealt
     packed = zstandard.ZstdCompressor(level=1).compress(b"".join(out))
     return MAGIC + struct.pack("<QQBQ", len(tokens), len(ids), bits, len(packed)) + packed
 
@@ -139,12 +143,13 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order."""
-        now = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, dtype=kind)
         for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            up = np.empty(self.n, dtype=np.uint32)
-            up[~one] = now[: self.zeros[k]]
-            up[one] = now[self.zeros[k] :] | np.uint32(1 << self.bits - 1 - k)
+            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            up = np.empty(self.n, dtype=kind)
+            up[np.flatnonzero(~one)] = now[: self.zeros[k]]
+            up[np.flatnonzero(one)] = now[self.zeros[k] :] | kind(1 << self.bits - 1 - k)
             now = up
         return now
 
@@ -179,7 +184,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 2 << 20) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 20) -> DataFrame:
     """Shard files in ascending id order, stored in the shared folder: (part, shard, documents, before, tokens, file)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
