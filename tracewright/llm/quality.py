@@ -6,8 +6,8 @@ compressed sizes over the text's size, taken in blocks of ``BLOCK`` bytes over
 the whole text, is the raw score. Logistic regression on that difference (and
 the compressed size itself, as both dictionaries fail on noise) calibrates it.
 
-Fitting takes at most ``max_rows`` labelled rows of each class and the first
-``max_bytes`` bytes of each, chosen by a hash of the id; half of them build the
+Fitting takes at most ``max_rows`` labels of each class, chosen by a hash of the
+id, and the first ``max_bytes`` bytes of their texts; half of them build the
 dictionaries, the other half calibrate, so the calibration sees no text that a
 dictionary holds. Scoring covers whole texts of all rows.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,11 +103,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, max_bytes: int = 8192, dictionary_bytes: int = 112_640) -> Model:
-    """A model from rows (id, text, label 0 or 1). At most max_rows of each class, in the order of a hash of their ids, and max_bytes of each reach the driver."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 1, max_bytes).alias("t"))
-    got = {y: [bytes(r.t) for r in rows.filter(F.col("y") == y).orderBy("h", "t").limit(max_rows).collect()] for y in (0, 1)}
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, max_bytes: int = 4096, dictionary_bytes: int = 112_640) -> Model:
+    """A model from docs (id, text) and labels (id, label 0 or 1). max_rows labels of each class, in the order of a hash of their ids, are looked up in docs; max_bytes of each text reach the driver."""
+    rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).distinct()
+    picked = [tuple(r) for y in (0, 1) for r in rows.filter(F.col("y") == y).orderBy("h", "id").limit(max_rows).collect()]
+    wanted = spark.createDataFrame(picked, rows.schema)  # 2 * max_rows ids at most, so it may be broadcast
+    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 1, max_bytes)
+    found = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(F.broadcast(wanted), "id").select("y", "h", "t").collect()
+    got = {k: [bytes(t) for y, _, t in sorted(tuple(r) for r in found) if y == k] for k in (0, 1)}
     halves = {y: (t, got[y][1::2]) for y, t in without_repeats({y: t[::2] for y, t in got.items()}).items()}
     n0, n1 = len(got[0]), len(got[1])
     if min(len(halves[0][1]), len(halves[1][1])) == 0:

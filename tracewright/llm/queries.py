@@ -37,8 +37,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """Fitted on the labelled rows of docs outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.fit(docs.filter(~held_out(F.col("doc_id"), 5)).select("doc_id", "text").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5))
+    return quality.fit(spark, docs, labels)
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
