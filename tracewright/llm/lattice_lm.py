@@ -37,7 +37,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright.llm.shared import settle
 
@@ -274,19 +273,22 @@ def _read_texts(hot, totals: Totals):
     return run
 
 
-def _sum_rare(totals: Totals):
-    """base and score of joined rows (row, tf, c, lattice)."""
+def _sum_rare(totals: Totals, shared):
+    """base and score of joined rows (row, word, tf, c, lattice); a word without c gets its lattice here."""
 
     def run(batches):
+        model = Lattice(*shared.value)
         for batch in batches:
-            tf, c, lattice = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            base = {k: totals.base(k) for k in set(c)}
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([t if k else 0 for t, k in zip(tf, c, strict=True)], pa.int64()),
-                pa.array([t * base[k] for t, k in zip(tf, c, strict=True)]),
-                pa.array([t * totals.word(k, x) for t, k, x in zip(tf, c, lattice, strict=True)]),
-            ], ["row", "n_known", "base", "score"])
+            words, tf, counts, lattices = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
+            new = list({w for w, c in zip(words, counts, strict=True) if c is None})
+            found = dict(zip(new, model.words(new), strict=True))
+            known, base, score = [], [], []
+            by_count = {c: totals.base(c or 0) for c in set(counts)}
+            for w, n, c, x in zip(words, tf, counts, lattices, strict=True):
+                known.append(n if c else 0)
+                base.append(n * by_count[c])
+                score.append(n * (totals.word(c, x) if c else totals.word(0, found[w])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["row", "n_known", "base", "score"])
 
     return run
 
@@ -323,11 +325,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, held_out, path: str, id_co
     read = settle(spark, read, "lm-read")
     own = read.filter(F.col("word").isNull()).select("row", "held_out", F.col("n").alias("n_tokens"), "n_known", "base", "score")
     rare = read.filter(F.col("word").isNotNull()).select("row", "word", F.col("n").alias("tf")).join(counts, "word", "left")
-    known = rare.filter(F.col("c").isNotNull()).select("row", "tf", "c", "lattice")
-    new = rare.filter(F.col("c").isNull()).select("word", "row", "tf", F.lit(0).cast("long").alias("c"))
-    new = new.mapInArrow(_marginals(spark.sparkContext.broadcast(model)), T.StructType([*new.schema.fields, T.StructField("lattice", T.DoubleType())]))
-    joined = known.unionByName(new.select("row", "tf", "c", "lattice"))
-    summed = joined.mapInArrow(_sum_rare(totals), f"row struct<id: {id_type}, n: bigint>, n_known long, base double, score double")
+    summed = rare.select("row", "word", "tf", "c", "lattice").mapInArrow(_sum_rare(totals, spark.sparkContext.broadcast(model)), f"row struct<id: {id_type}, n: bigint>, n_known long, base double, score double")
     everything = own.unionByName(summed, allowMissingColumns=True)
     out = everything.groupBy("row").agg(*[F.max(c).alias(c) for c in ("held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     return out.select(F.col("row.id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
