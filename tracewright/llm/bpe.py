@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.shared import kept
+
 CACHE = 700_000
 PIECE = 1 << 19
 
@@ -289,14 +291,9 @@ def _pack(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-_open: dict[tuple[str, str], Vocabulary] = {}
-
-
 def vocabulary(path: str, engine: str = "trie") -> Vocabulary:
     """One for each worker process, kept between tasks."""
-    if (path, engine) not in _open:
-        _open[path, engine] = Vocabulary(path, engine)
-    return _open[path, engine]
+    return kept((path, engine), lambda: Vocabulary(path, engine))
 
 
 def _encode(path: str, decoded: bool):

@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.shared import kept
+
 UNDETERMINED = "und"
-CACHE = 500_000
+CACHE = 400_000
 MARK = " "
 LETTERS = re.compile(r"[^\W\d_]+")
 SHARP = 40.0
@@ -100,7 +102,7 @@ def marked(text: str) -> str:
     return MARK + MARK.join(LETTERS.findall(text.lower())) + MARK
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: int = 120_000, min_chars: int = 20_000, max_doc_chars: int = 4_000, max_docs: int = 400) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: int = 40_000, min_chars: int = 10_000, max_doc_chars: int = 4_000, max_docs: int = 400) -> Model:
     """A model from rows (id, text, language); null languages and texts are left out. At most max_docs rows of each language and max_doc_chars of each reach the driver."""
     from pyspark.sql import Window
 
@@ -166,17 +168,11 @@ class Parser:
         return self.languages[best], float(e[best] / e.sum())
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def _predict(model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(model.value)
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(model.value)
+        parser = kept(model.value, lambda: Parser(model.value))
         for batch in batches:
-            got = [_parsers[key].predict(t) for t in batch.column(1).to_pylist()]
+            got = [parser.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["row", *["text"] * with_text, "lang_pred", "score"])
 
     return run

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker process keeps between tasks: the last thing that was asked for.
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make(), once in each worker process, until another operator keeps something there: workers serve one operator after the other, and what all of them keep wouldn't fit."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
     """Runs of rows with equal keys from Arrow batches sorted by them: (key values, True where the run starts, rows as a batch). A run that spans batches comes in several parts."""
     import numpy as np
