@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.shared import kept
 
-CACHE = 700_000
+CACHE = 600_000
 PIECE = 1 << 19
 
 # The letters and numbers of Latin-1.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import settle
+from tracewright.llm.shared import kept, settle
 
 CHUNK = 1 << 16
 HASHES = 4
@@ -38,6 +38,7 @@ FLUSH = 1 << 20
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = hashlib.sha256
+    kept("digests", bool)
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sha((t or b"").lower()).digest() for t in texts], pa.binary())], ["id", "digest"])

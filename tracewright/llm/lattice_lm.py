@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import settle
+from tracewright.llm.shared import kept, settle
 
 HOT = 1 << 16
 HOT_BYTES = 64
@@ -190,6 +190,7 @@ class Totals:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("words", bool)
     seen: Counter = Counter()
 
     def flush():

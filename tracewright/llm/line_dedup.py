@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shared import settle
+from tracewright.llm.shared import kept, settle
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -139,6 +139,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _postings(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lines", bool)
         for batch in batches:
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
@@ -320,10 +321,10 @@ def _drop_exact(filters, exact, min_chars: int, shards: int):
                     i += 1
             texts, n, dropped = [], [], []
             for doc, own, ks in zip(docs, lines, keys, strict=True):
-                kept = [x for x, k in zip(own, ks, strict=True) if k is None or k not in largest or largest[k] == doc]
-                texts.append(b"\n".join(kept))
+                stay = [x for x, k in zip(own, ks, strict=True) if k is None or k not in largest or largest[k] == doc]
+                texts.append(b"\n".join(stay))
                 n.append(len(own))
-                dropped.append(len(own) - len(kept))
+                dropped.append(len(own) - len(stay))
             yield _emit(batch, texts, n, dropped)
 
     return run
@@ -336,10 +337,10 @@ def _drop_listed(min_chars: int):
             for text, drop in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 own = text.split(b"\n")
                 gone = set(drop or ())
-                kept = [x for x, k in zip(own, long_keys(own, min_chars), strict=True) if k not in gone] if gone else own
-                texts.append(b"\n".join(kept))
+                stay = [x for x, k in zip(own, long_keys(own, min_chars), strict=True) if k not in gone] if gone else own
+                texts.append(b"\n".join(stay))
                 n.append(len(own))
-                dropped.append(len(own) - len(kept))
+                dropped.append(len(own) - len(stay))
             yield _emit(batch, texts, n, dropped)
 
     return run

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.shared import kept
+
 BLOCK = 1 << 12
 LEVEL = 6
 
@@ -128,7 +130,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
 def _score(model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model.value)
+        scorer = kept(model.value, lambda: _Scorer(model.value))
         for batch in batches:
             x = np.array([scorer.features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(scorer.scores(x))], ["row", *["text"] * with_text, "score"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
-from tracewright.llm.shared import partitions, settle, sorted_groups
+from tracewright.llm.shared import kept, partitions, settle, sorted_groups
 
 BITS = 64
 BUCKET = 2048
@@ -57,6 +57,7 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash", bool)
         for batch in batches:
             got = np.array([fingerprint(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["id", "fp"])
