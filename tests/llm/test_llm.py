@@ -428,3 +428,35 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.select("doc_id").distinct().count() == n
     assert {tuple(r)[:5] for r in last.collect()} == {tuple(r)[:5] for r in corpus_pipeline.run(spark, SF).collect()}
+
+
+def test_null_ids_and_empty_tables(spark, empty):
+    rows = [(None, "A line that three documents hold, or more.\nown"), (None, "a line that three documents hold, or more."), (5, "A line that three documents hold, or more.  "), (5, None), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark, table).collect())
+    assert got == [(False, 1, 0), (False, 1, 0), (True, 1, 0), (True, 1, 1), (True, 2, 1)]
+    exact = exact_dedup.exact_groups(spark, table).collect()
+    assert sorted(r.group_size for r in exact) == [1, 1, 1, 2, 2] and {r.keep_id for r in exact if r.group_size == 2} == {5}
+    assert sum(r.kept for r in exact) == 4
+    assert simhash.near_groups(spark, table).count() == packing.pack(spark, table, queries.VOCABULARY).count() == 5
+    held = queries.held_out(F.col("doc_id"), 5)
+    assert lattice_lm.score_texts(spark, table, held, queries.PIECES).count() == 5
+    files = wavelet.write_shards(spark, table, queries.BYTE_VOCABULARY)
+    assert wavelet.read_documents(spark, files).count() == 5
+    assert table.select(held.alias("h")).filter("h IS NULL").count() == 0
+    assert line_dedup.dedup_lines(spark, empty).count() == exact_dedup.exact_groups(spark, empty).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embed_dedup.near_vectors(spark, none).count() == 0
+    nulls = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.001])], "vec_id long, embedding array<double>")
+    assert embed_dedup.near_vectors(spark, nulls).count() == 3
+
+
+def test_same_hot_key_everywhere(spark):
+    """A line, text and vector that a third of all rows share."""
+    rows = [(i, "the same line in very many documents\n" + (f"own words of number {i} stand here alone" if i % 3 else "copy")) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    lines = line_dedup.dedup_lines(spark, table).collect()
+    assert {r.doc_id for r in lines if r.n_dropped == 0} == {599}
+    assert sum(r.kept for r in exact_dedup.exact_groups(spark, table).collect()) == 401
+    groups = simhash.near_groups(spark, table).collect()
+    assert {r.component_id for r in groups if r.id % 3 == 0} == {0}
