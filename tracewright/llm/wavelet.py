@@ -37,6 +37,8 @@ from tracewright.llm.shared import partitions, settle
 
 MAGIC = b"WVM1"
 STEP = 512
+#: Encoded words that a worker keeps; with their spaces and case they are more than others keep.
+WORDS_KEPT = 900_000
 FILES = "part int, shard int, documents long, before long, tokens long, file binary"
 
 
@@ -158,7 +160,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        v = vocabulary(path, "library")
+        v = vocabulary(path, "library", WORDS_KEPT)
         bits = max(max(v.names), end_id).bit_length()
         part, shard, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         held: list[bytes] = []
