@@ -155,8 +155,8 @@ class Merges:
 class Vocabulary:
     """A tokenizers JSON file with our own merges and store of encoded words."""
 
-    def __init__(self, path: str, engine: str = "trie"):
-        """engine: "trie" for the walk above, "library" to let the tokenizers library merge each distinct word, when it first comes."""
+    def __init__(self, path: str, engine: str = "trie", cache: int | None = None):
+        """engine: "trie" for the walk above, "library" to let the tokenizers library merge each distinct word, when it first comes. cache: words that are kept, CACHE by default."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -168,6 +168,7 @@ class Vocabulary:
         self.library.no_truncation()
         self.library.no_padding()
         self.engine = engine
+        self.cache = cache or CACHE
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -247,7 +248,7 @@ class Vocabulary:
                 if not isinstance(part, str):
                     words.update(part)
         missing = {w for w in words if w not in ids}
-        if len(ids) + len(missing) > CACHE:
+        if len(ids) + len(missing) > self.cache:
             ids.clear()
             missing = words
         self.learn(missing)
@@ -271,7 +272,7 @@ class _Store(dict):
         v = self.vocabulary
         if v.engine != "library":
             raise KeyError(word)
-        if len(self) >= CACHE:
+        if len(self) >= v.cache:
             self.clear()
         name = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(v.table)
         found = self[word] = _pack([t.id for t in v.library.model.tokenize(name)])
@@ -291,9 +292,9 @@ def _pack(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-def vocabulary(path: str, engine: str = "trie") -> Vocabulary:
+def vocabulary(path: str, engine: str = "trie", cache: int | None = None) -> Vocabulary:
     """One for each worker process, kept between tasks."""
-    return kept((path, engine), lambda: Vocabulary(path, engine))
+    return kept((path, engine, cache), lambda: Vocabulary(path, engine, cache))
 
 
 def _encode(path: str, decoded: bool):
