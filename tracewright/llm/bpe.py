@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,6 +68,8 @@ class Merges:
         self.vocab, self.end = vocab, end
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.names = {i: t for t, i in vocab.items()}
+        self.made = {a + b: (a, b, i) for i, (a, b) in enumerate(merges)}
+        self.one_way = len(self.made) == len(merges)  # every token has a single last merge
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.longest = max(map(len, vocab))
@@ -94,25 +98,44 @@ class Merges:
         return found
 
     def may_follow(self, a: str, b: str) -> bool:
+        """Whether a and b, side by side, stay two tokens."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.plain(self.symbols(a) + self.symbols(b)) == [a, b]
+            found = self.pairs[a, b] = self._apart(a, b) if self.one_way else self.plain(self.symbols(a) + self.symbols(b)) == [a, b]
         return found
 
+    def _apart(self, a: str, b: str) -> bool:
+        """may_follow by undoing merges: of the tokens at the border the one made last comes apart; if what then faces each other had a merge due before it, that would have come first. Of equal merges the left one is first."""
+        rank, made = self.rank, self.made
+        due = 1 << 60
+        while True:
+            if rank.get((a, b), due) < due:
+                return False
+            x, y = made.get(a), made.get(b)
+            if x is None and y is None:
+                return True
+            if y is None or x is not None and x[2] > y[2]:
+                a, due = x[1], x[2]
+            else:
+                b, due = y[0], y[2] + 1
+
     def _last(self, prefix: str, last: list[str | None], ending: str) -> str | None:
         """The last token of the prefix (with the word-end mark, if ending); last[i]: that of its first i symbols."""
         n = len(prefix)
-        vocab, whole, may_follow = self.vocab, self.whole, self.may_follow
-        for size in range(min(n, self.longest), 0, -1):
-            token = prefix[n - size :] + ending
-            if token in vocab and whole(token):
-                if size == n:
-                    return token
-                before = last[n - size]
-                if before is not None and may_follow(before, token):
+        vocab, alone, pairs = self.vocab, self.alone, self.pairs
+        whole_word = prefix + ending
+        for at in range(max(0, n - self.longest), n):
+            token = whole_word[at:]
+            if token in vocab and (alone.get(token) or self.whole(token)):
+                if not at:
                     return token
+                before = last[at]
+                if before is not None:
+                    fits = pairs.get((before, token))
+                    if fits or fits is None and self.may_follow(before, token):
+                        return token
         return None
 
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
@@ -289,7 +312,10 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 def vocabulary(path: str, engine: str = "trie", cache: int | None = None) -> Vocabulary:
