@@ -381,3 +381,52 @@ def stream_late_verdicts(spark, sf_dir):
     c = P.clicks(spark, sf_dir)
     k, v = c.filter("source = 'ui'").select("user_id", "item_id", F.col("ts").alias("clicked_at")), c.filter("source <> 'ui'").select("user_id", "item_id", "useful", F.col("ts").alias("at"))
     return J.late_verdicts(v, k, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+# ---- verification -----------------------------------------------------------
+FIGURES = "o_orderkey AS figure, o_orderkey % 5 <> 0 AS referenced, o_orderkey % 7 <> 0 AS \"exists\", o_orderdate AS made_at"
+
+
+@query(f"""WITH f AS (SELECT {FIGURES}, max(l_shipdate) AS source_at FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 GROUP BY ALL)
+    SELECT figure, CASE WHEN referenced AND NOT "exists" THEN 'missing' WHEN NOT referenced THEN 'orphan' WHEN source_at > made_at THEN 'stale' ELSE 'fresh' END AS verdict FROM f""")
+def figure_freshness(spark, sf_dir):
+    from tracewright.operators.verification import figure_freshness as judge
+
+    k = F.col("o_orderkey")
+    sources = P.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("source_at"))
+    o = P.table(spark, sf_dir, "orders").join(sources, "o_orderkey", "left")
+    return judge(o.select(k.alias("figure"), (k % 5 != 0).alias("referenced"), (k % 7 != 0).alias("exists"), F.col("o_orderdate").alias("made_at"), "source_at"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'paused' END AS status, o_orderkey % 9 = 0 AS backwards, o_orderkey % 4 AS n_metrics, o_orderkey % 6 <> 0 AS has_producer, o_orderkey % 8 = 0 AS leaks FROM orders)
+    SELECT run_id, 'unknown status' AS rule FROM r WHERE status = 'paused' UNION ALL SELECT run_id, 'ends before it starts' FROM r WHERE backwards UNION ALL SELECT run_id, 'terminal without an end' FROM r WHERE status = 'complete' AND NOT backwards
+    UNION ALL SELECT run_id, 'complete without metrics' FROM r WHERE status = 'complete' AND n_metrics = 0 UNION ALL SELECT run_id, 'no producer' FROM r WHERE NOT has_producer UNION ALL SELECT run_id, 'credential in config' FROM r WHERE leaks""")
+def run_conformance(spark, sf_dir):
+    from tracewright.operators.verification import conformance
+
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running").otherwise("paused")
+    return conformance(P.table(spark, sf_dir, "orders").select(k.alias("run_id"), status.alias("status"), d.alias("started_at"), F.when(k % 9 == 0, d - F.expr("INTERVAL 1 DAY")).alias("finished_at"), (k % 4).alias("n_metrics"), (k % 6 != 0).alias("has_producer"), F.when(k % 8 == 0, "api_key=abcdefgh1234").otherwise("lr=0.1").alias("config")))
+
+
+@query("""WITH h AS (SELECT doc_id % 50 AS model, sha256(text) AS d FROM documents), o AS (SELECT DISTINCT doc_id % 40 AS run_id, sha256(text) AS d FROM documents), s AS (SELECT model, count(*) AS n FROM h GROUP BY model),
+    c AS (SELECT model, run_id, count(*) AS covered FROM h JOIN o USING (d) GROUP BY model, run_id), b AS (SELECT * FROM c QUALIFY covered = max(covered) OVER (PARTITION BY model)), r AS (SELECT *, count(*) OVER (PARTITION BY model) AS runs FROM b)
+    SELECT model, run_id, covered, CASE WHEN runs > 1 THEN 'ambiguous producer' WHEN covered < n THEN 'partial output' END AS issue FROM r JOIN s USING (model)""")
+def model_trace(spark, sf_dir):
+    from tracewright.operators.verification import model_producers
+
+    d = P.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return model_producers(d.select((F.col("doc_id") % 50).alias("model"), "sha256"), d.select((F.col("doc_id") % 40).alias("run_id"), "sha256"))
+
+
+@query()
+def classifier_rank(spark, sf_dir):
+    """Items by how likely user 1 finds them useful."""
+    from tracewright.operators.ranking import positions
+    from tracewright.operators.verification import classified, click_classifier
+
+    v = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    model = click_classifier(P.clicks(spark, sf_dir).filter("user_id = 1"), v)
+    if model is None:
+        return v.select("item_id", F.lit(None).cast("double").alias("p"), F.lit(0).cast("long").alias("rank"))
+    return positions(classified(model, v).withColumn("p", F.round("p", 6)), "p", "item_id").select("item_id", "p", F.col("rank").cast("long"))
