@@ -25,6 +25,17 @@ def test_json(spark, tmp_path):
     assert [r.problem for r in rows if r.problem] == ["1 lines don't parse"]
 
 
+def test_files_of_many_lines(spark, tmp_path):
+    put(tmp_path, "a.json", json.dumps({"test": {"acc": 0.5}, "epoch": 2}, indent=2))
+    assert [(r.metric, r.step, r.split, r.value, r.problem) for r in A.read_json(spark, str(tmp_path)).collect()] == [("acc", 2, "test", 0.5, None)]
+    put(tmp_path, "l.bib", "@article{k1,\n  title = {A\n Title},\n  year = 2020\n}\n")
+    assert A.read_bibtex(spark, str(tmp_path)).first().fields == {"title": "A\n Title", "year": "2020"}
+    put(tmp_path, "d.md", "<!-- claim: p/run1\n metric=wer value=0.5 -->")
+    assert A.read_claims(spark, str(tmp_path)).first().claimed == 0.5
+    put(tmp_path, "t.tex", "\\cite{k1,\nk2} 5\\% % \\cite{no}\n")
+    assert sorted(r.key for r in A.read_citations(spark, str(tmp_path)).collect()) == ["k1", "k2"]
+
+
 def test_csv(spark, tmp_path):
     put(tmp_path, "r.csv", "config,wer,axis\na,0.5,x\nb,nan,1\n")
     assert {(r.run, r.metric, r.value) for r in A.read_csv(spark, str(tmp_path), "config").collect()} == {("a", "wer", 0.5), ("b", "axis", 1.0)}

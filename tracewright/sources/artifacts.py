@@ -91,7 +91,7 @@ def read_json(spark: SparkSession, folder: str, pattern: str = "*.json*") -> Dat
                 out += [(path, None, None, None, None, problem)] if problem else []
             yield pd.DataFrame(out, columns=["path", "metric", "step", "split", "value", "problem"]).astype({"step": "Int64"})
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.mapInPandas(run, "path string, metric string, step long, split string, value double, problem string")
 
 
@@ -176,7 +176,7 @@ def bibtex_entries(text):
 
 def read_bibtex(spark: SparkSession, folder: str) -> DataFrame:
     """path, kind, key, fields, problem."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.bib").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.bib").text(folder, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.explode(bibtex_entries("value")).alias("e")).select("path", "e.*")
 
 
@@ -187,7 +187,7 @@ CITED = r"\\(?:cite|citep|citet|autocite|parencite)\*?(?:\[[^\]]*\])*\{([^}]*)\}
 
 def read_claims(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """path, n, raw, project, run, metric, claimed, tol, problem of the claims in drafts; malformed ones keep their text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     found = files.select(F.input_file_name().alias("path"), F.posexplode(F.regexp_extract_all("value", F.lit(CLAIM), 1)).alias("n", "raw"))
     pick = lambda p: F.nullif(F.regexp_extract("raw", p, 1), F.lit(""))
     out = found.select("path", "n", "raw", pick(r"^([^/\s]+)/").alias("project"), pick(r"^[^/\s]+/(\S+)").alias("run"), F.lower(pick(r"metric=(\S+)")).alias("metric"), pick(r"value=(\S+)").try_cast("double").alias("claimed"), F.coalesce(pick(r"tol=(\S+)").try_cast("double"), F.lit(0.0)).alias("tol"))
@@ -196,7 +196,7 @@ def read_claims(spark: SparkSession, folder: str, pattern: str = "*.md") -> Data
 
 def read_citations(spark: SparkSession, folder: str) -> DataFrame:
     """path, key of the works that LaTeX drafts cite."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").text(folder, wholetext=True)
     bare = F.regexp_replace("value", r"(?m)(?<!\\)%.*$", "")
     keys = F.explode(F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(CITED), 1), lambda g: F.split(g, r"\s*,\s*"))))
     return files.select(F.input_file_name().alias("path"), keys.alias("key"))
