@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import tracewright.plans.drafts
 import tracewright.plans.feed
 import tracewright.plans.ledger
 import tracewright.plans.library  # noqa: F401

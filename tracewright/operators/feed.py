@@ -134,3 +134,14 @@ def jaccard_nearest(words: DataFrame) -> DataFrame:
     scored = both.join(size, "user_id").join(size.select(F.col("user_id").alias("other"), F.col("n").alias("m")), "other").withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
     best = F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), "other"))
     return scored.groupBy("user_id").agg(best.alias("b")).select("user_id", "b.other", "b.similarity")
+
+
+def suggest_sources(clicks: DataFrame, tags: DataFrame, sources: DataFrame, limit: int = 5) -> DataFrame:
+    """user_id, source, score: sources (item_id, source) that a user never judged an item of, by how many of the tags of useful items
+    they hold; ties by name. Tags are counted once per source and once per user before they meet."""
+    liked = clicks.filter("useful = 1").join(tags, "item_id").select("user_id", "tag").distinct()
+    held = sources.join(tags, "item_id").select("source", "tag").distinct()
+    has = clicks.select("user_id", "item_id").join(sources, "item_id").select("user_id", "source").distinct()
+    scored = liked.join(held, "tag").groupBy("user_id", "source").agg(F.count(F.lit(1)).alias("score")).join(has, ["user_id", "source"], "left_anti")
+    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "source"))
+    return scored.withColumn("place", best).filter(F.col("place") <= limit).select("user_id", "source", "score")
