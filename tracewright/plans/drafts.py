@@ -53,7 +53,7 @@ def tag_canonical(spark, sf_dir):
 
 
 @query(f"""WITH clicks AS ({P.CLICKS_SQL}), {TAGS}, liked AS (SELECT DISTINCT user_id, tag FROM clicks JOIN tags USING (item_id) WHERE useful = 1),
-    held AS (SELECT DISTINCT source, tag FROM tags JOIN documents ON item_id = doc_id), has AS (SELECT DISTINCT user_id, source FROM clicks JOIN documents ON item_id = doc_id),
+    held AS (SELECT DISTINCT documents.source, tag FROM tags JOIN documents ON item_id = doc_id), has AS (SELECT DISTINCT user_id, documents.source FROM clicks JOIN documents ON item_id = doc_id),
     scored AS (SELECT user_id, source, count(*) AS score FROM liked JOIN held USING (tag) ANTI JOIN has USING (user_id, source) GROUP BY user_id, source)
     SELECT user_id, source, score FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, source) <= 5""")
 def feed_suggest_sources(spark, sf_dir):
