@@ -124,7 +124,6 @@ class Lattice:
             before, out[k] = text, alpha[-1]
         return out
 
-
     def expect(self, words: list[str]) -> dict[str, float]:
         """How often each piece is expected over all segmentations of these words, each word once."""
         logp, ends, exp, longest = self.logp, self.ends, math.exp, self.longest
@@ -182,6 +181,15 @@ class Totals:
         top = max(math.log(whole) if whole > 0 else -math.inf, part)
         return (top + math.log((whole * math.exp(-top) if whole else 0.0) + math.exp(part - top))) / math.log(10)
 
+    def many(self, c, lattice):
+        """The same of arrays."""
+        import numpy as np
+
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.where(c > 0, (c - self.discount) / max(self.tokens, 1), 0.0))
+        both = np.logaddexp(whole, math.log(self.unseen) + lattice) if self.unseen > 0 else whole
+        return np.where(np.isneginf(both), math.log(0.5) + lattice, both) / math.log(10)
+
     def end(self) -> float:
         return math.log10(self.ends / self.tokens) if self.ends else math.log10(0.5)
 
@@ -246,30 +254,36 @@ def _marginals(shared):
 def _read_texts(hot, totals: Totals):
     """One row per document (word null: its sums over the end and hot words) and one per document and other word."""
 
+    names = ["row", "held_out", "word", "n", "n_known", "base", "score"]
+
     def run(batches):
+        import numpy as np
+
         known = {w.encode(): (totals.base(c), totals.word(c, lattice)) for w, c, lattice in hot.value}
         end = (totals.base(totals.ends), totals.end())
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                base, score, n_known, n, rest = end[0], end[1], int(totals.ends > 0), 1, Counter()
-                own = Counter((text or b"").lower().split())
-                for w, tf in own.items():
+            sums: list[tuple] = []
+            words, tfs, sizes = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                base, score, n_known, n, before = end[0], end[1], int(totals.ends > 0), 1, len(words)
+                for w, tf in Counter((text or b"").lower().split()).items():
                     n += tf
                     got = known.get(w)
                     if got is None:
-                        rest[w] = tf
+                        words.append(w)
+                        tfs.append(tf)
                     else:
                         base += tf * got[0]
                         score += tf * got[1]
                         n_known += tf
-                rows = [(i, held, None, n, n_known, base, score), *((i, None, w, tf, 0, 0.0, 0.0) for w, tf in rest.items())]
-                for column, values in zip(out, zip(*rows, strict=True), strict=True):
-                    column += values
-            kinds = (None, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns = [pa.array(x, kind or batch.schema.field(0).type) for x, kind in zip(out, kinds, strict=True)]
-            columns[2] = columns[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, ["row", "held_out", "word", "n", "n_known", "base", "score"])
+                sizes.append(len(words) - before)
+                sums.append((n, n_known, base, score))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*sums, strict=True), kinds, strict=True)] if sums else [pa.nulls(0, kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(sizes), pa.string()), *columns], names)
+            m, at = len(words), pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            nothing = [pa.nulls(m, kind) for kind in kinds[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.nulls(m, pa.bool_()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64()), *nothing], names)
 
     return run
 
@@ -278,25 +292,25 @@ def _sum_rare(totals: Totals, shared):
     """base and score of joined rows (row, word, tf, c, lattice); a word without c gets its lattice here."""
 
     def run(batches):
+        import numpy as np
+
         model = Lattice(*shared.value)
         for batch in batches:
-            words, tf, counts, lattices = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
-            new = list({w for w, c in zip(words, counts, strict=True) if c is None})
-            found = dict(zip(new, model.words(new), strict=True))
-            known, base, score = [], [], []
-            by_count = {c: totals.base(c or 0) for c in set(counts)}
-            for w, n, c, x in zip(words, tf, counts, lattices, strict=True):
-                known.append(n if c else 0)
-                base.append(n * by_count[c])
-                score.append(n * (totals.word(c, x) if c else totals.word(0, found[w])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["row", "n_known", "base", "score"])
+            tf, counts, lattice = batch.column(2).to_numpy(), batch.column(3).fill_null(0).to_numpy(), np.array(batch.column(4).fill_null(0.0))
+            new = np.flatnonzero(counts == 0)
+            if len(new):
+                words = batch.column(1).take(pa.array(new)).dictionary_encode()
+                lattice[new] = np.array(model.words(words.dictionary.to_pylist()))[words.indices.to_numpy()]
+            distinct, place = np.unique(counts, return_inverse=True)
+            base = np.array([totals.base(c) for c in distinct.tolist()])[place] if len(tf) else lattice
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(counts > 0, tf, 0)), pa.array(tf * base), pa.array(tf * totals.many(counts, lattice))], ["row", "n_known", "base", "score"])
 
     return run
 
 
 def fit(spark: SparkSession, texts: DataFrame, path: str, em_rounds: int = 1) -> tuple[DataFrame, Totals, tuple[list[str], list[float]]]:
     """(counts: word, c, lattice), totals and weighted pieces from a column of training texts."""
-    counts = settle(spark, texts.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
+    counts = settle(spark, texts.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).sortWithinPartitions("word"), "lm-counts")  # neighbours share the recursion over their prefixes
     ends = texts.count()
     n, v, n1, n2 = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     totals = Totals(n + ends, v + (ends > 0), ends, min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5)
