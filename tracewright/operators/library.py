@@ -59,3 +59,10 @@ def substring_search(refs: DataFrame, words: list[str], limit: int) -> DataFrame
     for w in words:
         hit = hit & F.lower("title").contains(w.lower())
     return refs.filter(hit).orderBy(F.desc_nulls_last("year"), "ref_id").select("ref_id", "year").limit(limit)
+
+
+def weekly_counts(events: DataFrame, time: str = "ts") -> DataFrame:
+    """week (its Monday), n: events of each week from the first to the last, 0 where there are none."""
+    w = events.groupBy(F.to_date(F.date_trunc("week", time)).alias("week")).agg(F.count(F.lit(1)).alias("n")).filter("week IS NOT NULL")
+    s = w.agg(F.min("week").alias("a"), F.max("week").alias("z")).select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 7 DAYS"))).alias("week"))
+    return s.join(w, "week", "left").select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.coalesce("n", F.lit(0)).alias("n"))
