@@ -27,3 +27,20 @@ def test_unknown_corpora(spark):
     rows = [("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x"), ("b", 4, None), ("c", 5, None), ("d", 6, "x"), ("d", 7, "y"), ("d", 8, None)]
     got = {r.family: (r.unknown, r.agreement) for r in claims.corpus_agreement(spark.createDataFrame(rows, "family string, run_id long, corpus string")).collect()}
     assert got == {"a": (0, "shared"), "b": (1, "partial"), "c": (1, "unknown"), "d": (1, "differing")}
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_tags_and_venues_of_whole_texts(spark, tmp_path):
+    long = "a " * 40 + "Hidden Journal of the later words"
+    rows = [(i, long if i < 4 else t, "en", "s", 0) for i, t in enumerate([None] * 4 + ["hidden hidden", "", None])]
+    path = write(spark, tmp_path, documents=(rows, DOCS))
+    got = {r.item_id: (r.label, r.overlap) for r in QUERIES["feed_digest_clusters_whole"](spark, path).collect()}
+    assert got == {0: ("en", 4), 1: ("en", 4), 2: ("en", 4), 3: ("en", 4), 4: ("en", 1)}
+    sizes = {r.label: r.n for r in QUERIES["feed_digest_budget_whole"](spark, path).collect()}
+    assert sizes == {"hidden": 5, "journal": 4, "later": 4, "words": 4}
+    tags = {r.tag for r in QUERIES["tag_canonical_whole"](spark, path).collect()}
+    assert tags == set(sizes)
+    keys = {r.doc_id: r.venue_key for r in QUERIES["venue_keys_whole"](spark, path).collect()}
+    assert keys[0].endswith("hidden journal of the later words") and keys[5] == keys[6] == ""

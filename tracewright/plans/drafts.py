@@ -30,6 +30,11 @@ def venue_keys(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", D.venue_key(F.substring("text", 1, 40)).alias("venue_key"))
 
 
+@query("SELECT doc_id, regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS venue_key FROM documents")
+def venue_keys_whole(spark, sf_dir):
+    return P.table(spark, sf_dir, "documents").select("doc_id", D.venue_key(F.col("text")).alias("venue_key"))
+
+
 @query()
 def text_measured_numbers(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", F.size(D.measured_numbers(F.col("text"))).alias("n"))
@@ -37,28 +42,53 @@ def text_measured_numbers(spark, sf_dir):
 
 # ---- tags ----
 TAGS = "tags AS (SELECT DISTINCT item_id, tag FROM (SELECT doc_id AS item_id, unnest(string_split(lower(substring(text, 1, 60)), ' ')) AS tag FROM documents) WHERE length(tag) >= 5)"
+#: The same from whole texts.
+WHOLE_TAGS = TAGS.replace("substring(text, 1, 60)", "text")
 SINGULAR = "CASE WHEN length({f}) >= 4 AND {f} LIKE '%s' AND " + " AND ".join(f"{{f}} NOT LIKE '%{e}'" for e in D.NO_PLURAL) + " THEN {f}[:-2] ELSE {f} END"
 FOLD = SINGULAR.format(f="regexp_replace({t}, '[-_]', '', 'g')")
 ALIASES = "aliases AS (SELECT tag AS alias, max(other) AS target FROM (SELECT a.tag, b.tag AS other FROM (SELECT DISTINCT tag FROM tags) a JOIN (SELECT DISTINCT tag FROM tags) b ON a.tag[:4] = b.tag[:4]) GROUP BY tag HAVING count(*) BETWEEN 2 AND 3)"
 
 
-@query(f"""WITH {TAGS}, {ALIASES}, own AS (SELECT alias, min(target) AS a FROM aliases GROUP BY alias), folds AS (SELECT {FOLD.replace("{t}", "target")} AS fold, min(target) AS f FROM aliases GROUP BY 1)
-    SELECT item_id, tag, coalesce(a, f, tag) AS canonical FROM tags LEFT JOIN own ON tag = alias LEFT JOIN folds ON fold = {FOLD.replace("{t}", "tag")}""")
-def tag_canonical(spark, sf_dir):
-    tags = _tags(spark, sf_dir).select("item_id", "tag")
+CANONICAL = f"""{ALIASES}, own AS (SELECT alias, min(target) AS a FROM aliases GROUP BY alias), folds AS (SELECT {FOLD.replace("{t}", "target")} AS fold, min(target) AS f FROM aliases GROUP BY 1)
+    SELECT item_id, tag, coalesce(a, f, tag) AS canonical FROM tags LEFT JOIN own ON tag = alias LEFT JOIN folds ON fold = {FOLD.replace("{t}", "tag")}"""
+
+
+def _canonical(tags):
     # a stand-in for a curated table: words of a small family that share their first letters go by its last
     family = tags.select("tag").distinct().withColumn("head", F.substring("tag", 1, 4))
     heads = family.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.max("tag").alias("target")).filter("n BETWEEN 2 AND 3")
     return D.canonical_tags(tags, family.join(heads, "head").select(F.col("tag").alias("alias"), "target"))
 
 
-@query(f"""WITH clicks AS ({P.CLICKS_SQL}), {TAGS}, liked AS (SELECT DISTINCT user_id, tag FROM clicks JOIN tags USING (item_id) WHERE useful = 1),
+@query(f"WITH {TAGS}, {CANONICAL}")
+def tag_canonical(spark, sf_dir):
+    return _canonical(_tags(spark, sf_dir).select("item_id", "tag"))
+
+
+@query(f"WITH {WHOLE_TAGS}, {CANONICAL}")
+def tag_canonical_whole(spark, sf_dir):
+    return _canonical(_tags(spark, sf_dir, whole=True).select("item_id", "tag"))
+
+
+SUGGESTED = """liked AS (SELECT DISTINCT user_id, tag FROM clicks JOIN tags USING (item_id) WHERE useful = 1),
     held AS (SELECT DISTINCT documents.source, tag FROM tags JOIN documents ON item_id = doc_id), has AS (SELECT DISTINCT user_id, documents.source FROM clicks JOIN documents ON item_id = doc_id),
     scored AS (SELECT user_id, source, count(*) AS score FROM liked JOIN held USING (tag) ANTI JOIN has USING (user_id, source) GROUP BY user_id, source)
-    SELECT user_id, source, score FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, source) <= 5""")
-def feed_suggest_sources(spark, sf_dir):
+    SELECT user_id, source, score FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, source) <= 5"""
+
+
+def _suggested(spark, sf_dir, tags):
     clicks, items = P.clicks(spark, sf_dir), P.items(spark, sf_dir).select("item_id", F.col("feed").alias("source"))
-    return O.suggest_sources(clicks, _tags(spark, sf_dir).select("item_id", "tag"), items)
+    return O.suggest_sources(clicks, tags.select("item_id", "tag"), items)
+
+
+@query(f"WITH clicks AS ({P.CLICKS_SQL}), {TAGS}, {SUGGESTED}")
+def feed_suggest_sources(spark, sf_dir):
+    return _suggested(spark, sf_dir, _tags(spark, sf_dir))
+
+
+@query(f"WITH clicks AS ({P.CLICKS_SQL}), {WHOLE_TAGS}, {SUGGESTED}")
+def feed_suggest_sources_whole(spark, sf_dir):
+    return _suggested(spark, sf_dir, _tags(spark, sf_dir, whole=True))
 
 
 # ---- bibliographies ----

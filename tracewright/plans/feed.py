@@ -119,29 +119,49 @@ TAGS = """tags AS (SELECT DISTINCT doc_id AS item_id, unnest(string_split(lower(
     best AS (SELECT item_id, label, overlap FROM overlap QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, label) = 1)"""
 
 
-def _tags(spark, sf_dir):
-    title = F.lower(F.substring("text", 1, 60))
+#: The same from whole texts.
+WHOLE_TAGS = TAGS.replace("substring(text, 1, 60)", "text")
+
+
+def _tags(spark, sf_dir, whole=False):
+    """Words of a text's first 60 characters, as TAGS has them, or of all of it."""
+    title = F.lower(F.col("text") if whole else F.substring("text", 1, 60))
     d = P.table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("item_id"), "lang", F.explode(F.array_distinct(F.split(title, " "))).alias("tag")).filter(F.length("tag") >= 5)
 
 
-def _clusters(spark, sf_dir):
-    tags = _tags(spark, sf_dir)
+def _clusters(tags):
     members = tags.groupBy(F.col("lang").alias("label"), "tag").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("label", "tag")
     return O.best_clusters(tags.select("item_id", "tag"), members)
 
 
 @query(f"WITH {TAGS} SELECT t.item_id, label, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT item_id FROM tagged) t LEFT JOIN best USING (item_id)")
 def feed_digest_clusters(spark, sf_dir):
-    return _clusters(spark, sf_dir)
+    return _clusters(_tags(spark, sf_dir))
+
 
+@query(f"WITH {WHOLE_TAGS} SELECT t.item_id, label, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT item_id FROM tagged) t LEFT JOIN best USING (item_id)")
+def feed_digest_clusters_whole(spark, sf_dir):
+    return _clusters(_tags(spark, sf_dir, whole=True))
 
-@query(f"""WITH {TAGS}, sizes AS (SELECT tag AS label, count(*) AS n FROM tagged GROUP BY tag),
+
+BUDGET = """sizes AS (SELECT tag AS label, count(*) AS n FROM tagged GROUP BY tag),
     s AS (SELECT label, n, least(n, 3, 16 - coalesce(sum(least(n, 3)) OVER (ORDER BY n DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS shown FROM sizes)
-    SELECT label, n, CAST(shown AS BIGINT) AS shown FROM s WHERE shown > 0""")
+    SELECT label, n, CAST(shown AS BIGINT) AS shown FROM s WHERE shown > 0"""
+
+
+def _budget(tags):
+    return O.digest_budget(tags.groupBy(F.col("tag").alias("label")).agg(F.count(F.lit(1)).alias("n")), 3, 16)
+
+
+@query(f"WITH {TAGS}, {BUDGET}")
 def feed_digest_budget(spark, sf_dir):
-    sizes = _tags(spark, sf_dir).groupBy(F.col("tag").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return O.digest_budget(sizes, 3, 16)
+    return _budget(_tags(spark, sf_dir))
+
+
+@query(f"WITH {WHOLE_TAGS}, {BUDGET}")
+def feed_digest_budget_whole(spark, sf_dir):
+    return _budget(_tags(spark, sf_dir, whole=True))
 
 
 @query(f"""WITH {C} SELECT c_custkey AS user_id, count(user_id) AS total, count(*) FILTER (WHERE useful = 1) AS positives,
