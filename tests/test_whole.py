@@ -1,11 +1,12 @@
 """Queries over all rows on small tables, and what the tables of the driver do not hold."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import tracewright.plans.drafts
 import tracewright.plans.feed
 import tracewright.plans.library  # noqa: F401
-from tracewright.operators import claims
+from tracewright.operators import claims, feed
 from tracewright.plans.registry import QUERIES
 
 
@@ -44,3 +45,24 @@ def test_tags_and_venues_of_whole_texts(spark, tmp_path):
     assert tags == set(sizes)
     keys = {r.doc_id: r.venue_key for r in QUERIES["venue_keys_whole"](spark, path).collect()}
     assert keys[0].endswith("hidden journal of the later words") and keys[5] == keys[6] == ""
+
+
+def test_searches_take_every_hundredth_row(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(450, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [*range(1, 450), 500]  # no row 0
+    v[[10, 20, 30]] = v[40]
+    path = write(spark, tmp_path, embeddings=([(i, x.tolist(), i % 3) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>, label long"))
+    near = np.round(v @ v.T, 6)
+    want = {(ids[q], ids[j], k) for q in range(450) if ids[q] % 100 == 0 for k, j in enumerate(sorted(range(450), key=lambda j: (-near[q, j], ids[j]))[:10])}
+
+    def ranked(df):
+        rows = sorted(df.collect(), key=lambda r: (r.query_id, -r.similarity, r.item_id))
+        return {(r.query_id, r.item_id, k % 10) for k, r in enumerate(rows)}
+
+    assert ranked(QUERIES["knn_topk_all"](spark, path)) == want and len(want) == 50
+    vectors = spark.read.parquet(f"{path}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
+    queries = vectors.filter("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    assert ranked(feed.nearest_each(vectors, queries, 10, rows=60, block=2)) == want
+    assert feed.nearest_each(vectors, queries.limit(0), 10).count() == 0

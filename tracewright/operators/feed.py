@@ -94,6 +94,39 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("item_id", F.round(dot(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "item_id").limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 8192, block: int = 1024) -> DataFrame:
+    """query_id, item_id, similarity: of each of queries (query_id, embedding) the k best of all unit vectors (item_id, embedding, and
+    bonus, which counts on top, where there is one). Blocks of vectors meet blocks of queries and yield k each."""
+    bonus = F.col("bonus").cast("double") if "bonus" in vectors.columns else F.lit(0.0)
+    n_rows, n_queries = max(1, -(-vectors.count() // rows)), max(1, -(-queries.count() // block))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.filter("embedding IS NOT NULL").select("item_id", F.col("embedding").cast("array<double>").alias("embedding"), bonus.alias("bonus"), place("item_id", n_rows).alias("i"), every(n_queries).alias("j"))
+    right = queries.filter("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), place("query_id", n_queries).alias("j"), every(n_rows).alias("i"))
+
+    def best(_, a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
+        a = a.sort_values("item_id")
+        near = np.round(np.stack(b["embedding"].to_list()) @ np.stack(a["embedding"].to_list()).T, 6)
+        near = np.round(near + a["bonus"].to_numpy(), 6)
+        top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), top.shape[1]), "item_id": a["item_id"].to_numpy()[top.ravel()], "similarity": np.take_along_axis(near, top, 1).ravel()})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, item_id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")
+
+
+def relevance_floor_each(hits: DataFrame, floor: float = FLOOR, anchor: int = ANCHOR) -> DataFrame:
+    """Each query's hits within the floor of the mean of its best few."""
+    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).filter(F.col("place") <= anchor).groupBy("query_id").agg(F.avg("similarity").alias("best"))
+    return hits.join(best, "query_id").filter(F.col("similarity") >= F.col("best") * floor).drop("best")
+
+
 def relevance_floor(hits: DataFrame, floor: float = FLOOR, anchor: int = ANCHOR) -> DataFrame:
     """Hits within the floor of the mean of the best few."""
     best = hits.orderBy(F.desc("similarity")).limit(anchor).agg(F.avg("similarity").alias("best"))
@@ -102,13 +135,29 @@ def relevance_floor(hits: DataFrame, floor: float = FLOOR, anchor: int = ANCHOR)
 
 def search(items: DataFrame, semantic: DataFrame, profile_similarity: DataFrame, needle: str) -> DataFrame:
     """item_id, score, how: relevance with literal boosts, three quarters, and the profile."""
+    rows = _literal_hits(items, needle).join(semantic, "item_id", "left").filter("b OR similarity IS NOT NULL").join(profile_similarity, "item_id", "left")
+    return rows.select("item_id", *_blended())
+
+
+def search_each(items: DataFrame, semantic: DataFrame, queries: DataFrame, profile_similarity: DataFrame, needle: str) -> DataFrame:
+    """query_id, item_id, score, how: the same for each query_id of queries; literal hits belong to all of them, and items that are no hit of any aren't paired."""
+    hits = _literal_hits(items, needle)
+    pairs = hits.filter("b").select("item_id").crossJoin(queries.select("query_id")).select("query_id", "item_id").union(semantic.select("query_id", "item_id")).distinct()
+    rows = pairs.join(hits, "item_id").join(semantic, ["query_id", "item_id"], "left").join(profile_similarity, "item_id", "left")
+    return rows.select("query_id", "item_id", *_blended())
+
+
+def _literal_hits(items: DataFrame, needle: str) -> DataFrame:
     low = needle.lower()
     in_title, in_body = F.lower("title").contains(low), F.lower("summary").contains(low)
-    rows = items.select("item_id", in_title.alias("t"), (in_title | in_body).alias("b")).join(semantic, "item_id", "left").filter("b OR similarity IS NOT NULL").join(profile_similarity, "item_id", "left")
+    return items.select("item_id", in_title.alias("t"), (in_title | in_body).alias("b"))
+
+
+def _blended() -> list:
     relevance = F.coalesce("similarity", F.lit(0.0)) + F.when(F.col("t"), TITLE_BOOST).when(F.col("b"), BODY_BOOST).otherwise(0.0)
     score = QUERY_WEIGHT * F.least(relevance, F.lit(1.0)) + (1 - QUERY_WEIGHT) * F.greatest(F.lit(0.0), F.coalesce("profile_similarity", F.lit(0.0)))
     how = F.when(F.col("b") & F.col("similarity").isNotNull(), "both").when(F.col("b"), "literal").otherwise("semantic")
-    return rows.select("item_id", score.alias("score"), how.alias("how"))
+    return [score.alias("score"), how.alias("how")]
 
 
 def best_clusters(item_tags: DataFrame, members: DataFrame) -> DataFrame:

@@ -238,3 +238,55 @@ def library_literal_boost(spark, sf_dir):
     rows = P.items(spark, sf_dir).select("item_id", words.alias("hits")).join(_vectors(spark, sf_dir), "item_id")
     score = F.round(F.round(dot(F.col("embedding"), q), 6) + O.WORD_BOOST * F.col("hits"), 6)
     return rows.select("item_id", score.alias("score")).orderBy(F.desc("score"), "item_id").limit(20)
+
+
+# ---- searches for every hundredth row --------------------------------------
+KNN_ALL = f"q AS (SELECT item_id AS query_id, embedding AS qv FROM vec WHERE item_id % 100 = 0), sims AS (SELECT query_id, item_id, round({DOT.format(a='embedding', b='qv')}, 6) AS similarity FROM vec, q)"
+BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= {k}"
+
+
+def _queries(spark, sf_dir):
+    return _vectors(spark, sf_dir).filter("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+
+
+def _scaled_round(c):
+    """To 6 places on the scaled double, as DuckDB rounds; F.round goes by the decimal text, which differs on ties."""
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+
+
+@query(f"WITH {VEC}, {KNN_ALL} SELECT * FROM sims {BEST.format(k=10)}")
+def knn_topk_all(spark, sf_dir):
+    return O.nearest_each(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10)
+
+
+@query(f"WITH {VEC}, {KNN_ALL} SELECT s.* FROM sims s JOIN embeddings e ON e.vec_id = s.item_id WHERE label = 1 {BEST.format(k=10)}")
+def knn_prefiltered_all(spark, sf_dir):
+    own = P.table(spark, sf_dir, "embeddings").filter("label = 1").select(F.col("vec_id").alias("item_id"), "embedding")
+    return O.nearest_each(own, _queries(spark, sf_dir), 10)
+
+
+@query(f"""WITH {VEC}, {KNN_ALL}, top AS (SELECT * FROM sims {BEST.format(k=50)}), b AS (SELECT query_id, avg(similarity) AS best FROM (SELECT * FROM top {BEST.format(k=3)}) GROUP BY query_id)
+    SELECT query_id, item_id, similarity FROM top JOIN b USING (query_id) WHERE similarity >= best * 0.9""")
+def relevance_floor_all(spark, sf_dir):
+    return O.relevance_floor_each(O.nearest_each(_vectors(spark, sf_dir), _queries(spark, sf_dir), 50))
+
+
+@query(f"""WITH {C}, {I}, {VEC}, {KNN_ALL}, {PROFILE}, hits AS (SELECT * FROM sims {BEST.format(k=50)}),
+    r AS (SELECT q.query_id, i.item_id, contains(lower(title), 'reth') AS t, contains(lower(title), 'reth') OR contains(lower(summary), 'reth') AS b, similarity, profile_similarity
+        FROM items i CROSS JOIN q LEFT JOIN hits h ON h.query_id = q.query_id AND h.item_id = i.item_id LEFT JOIN psim p ON p.item_id = i.item_id)
+    SELECT query_id, item_id, round(0.75 * least(coalesce(similarity, 0) + CASE WHEN t THEN 0.35 WHEN b THEN 0.15 ELSE 0 END, 1) + 0.25 * greatest(0, coalesce(profile_similarity, 0)), 6) AS score,
+    CASE WHEN b AND similarity IS NOT NULL THEN 'both' WHEN b THEN 'literal' ELSE 'semantic' END AS how FROM r WHERE b OR similarity IS NOT NULL""")
+def search_blend_all(spark, sf_dir):
+    vectors, queries = _vectors(spark, sf_dir), _queries(spark, sf_dir)
+    liked = F.array(*[F.lit(x) for x in O.profile(vectors, P.clicks(spark, sf_dir).filter("user_id = 1"))])
+    own = vectors.select("item_id", F.round(dot(F.col("embedding"), liked), 9).alias("profile_similarity"))
+    return O.search_each(P.items(spark, sf_dir), O.nearest_each(vectors, queries, 50), queries, own, "reth").withColumn("score", _scaled_round("score"))
+
+
+@query(f"""WITH {VEC}, {KNN_ALL}, {I}, w AS (SELECT item_id, len(list_intersect(string_split(lower(title), ' '), ['the', 'of', 'and'])) AS hits FROM items),
+    s AS (SELECT query_id, item_id, round(similarity + 0.02 * hits, 6) AS score FROM sims JOIN w USING (item_id))
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 20""")
+def library_literal_boost_all(spark, sf_dir):
+    words = F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(F.lit("the"), F.lit("of"), F.lit("and"))))
+    rows = P.items(spark, sf_dir).select("item_id", (O.WORD_BOOST * words).alias("bonus")).join(_vectors(spark, sf_dir), "item_id")
+    return O.nearest_each(rows, _queries(spark, sf_dir), 20).withColumnRenamed("similarity", "score")
