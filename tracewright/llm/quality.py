@@ -1,19 +1,22 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, from good and from bad labelled text. A
+Two zstandard dictionaries are trained, from good and from bad labelled text. A
 text that resembles one of them compresses better with it; the difference of the
 compressed sizes over the text's size, taken in blocks of ``BLOCK`` bytes over
-the whole text, is the raw score. Logistic regression on that difference (and
-the compressed size itself, as both dictionaries fail on noise) calibrates it.
+the whole text, is the raw score. Logistic regression calibrates it. It also
+sees the smaller compressed size over the text's size: how much a difference
+means depends on how far the text compresses at all (noise does with neither).
 
-Fitting takes at most ``max_rows`` labels of each class, chosen by a hash of the
-id, and the first ``max_bytes`` bytes of their texts; half of them build the
+Fitting takes at most ``max_rows`` labels of each class, in the order of a hash of
+the id, and their whole texts; that bound is the only one. Half of them build the
 dictionaries, the other half calibrate, so the calibration sees no text that a
 dictionary holds. Scoring covers whole texts of all rows.
 
 Rows with a null text count as empty; an empty text gets the score of the
-average text (the intercept). Labels other than 0 and 1 are left out. Where one
-class has no labels, every score is the share of label 1 (0.5 with no labels).
+average text (the intercept). Labels other than 0 and 1 are left out, and an id
+labelled both counts as both. Where one class has no labels, every score is the
+share of label 1 (0.5 with no labels). Repeated rows score alike, no rows give
+no rows, and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from tracewright.llm.shared import kept
 
 BLOCK = 1 << 12
 LEVEL = 6
+#: Bytes of the pieces that dictionaries are trained on, of the segments they take, and of the matches that these are rated by.
+PIECE, SEGMENT, MATCH = 2048, 256, 8
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,7 @@ class _Scorer:
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.sides = []
         for raw in (model.good, model.bad):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(raw)  # with its entropy tables, if it was trained
             d.precompute_compress(compression_params=params)
             self.sides.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
 
@@ -81,12 +86,12 @@ def without_repeats(texts: dict[int, list[bytes]], min_bytes: int = 20) -> dict[
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A dictionary of the given size at most: zstandard's own choice of segments, or the texts themselves where there are too few for it."""
+    """A dictionary of the given size at most: the segments of the texts that zstandard's training picks, or the texts themselves where there are too few for it."""
     import zstandard
 
-    pieces = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
-        return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, pieces, level=LEVEL, k=SEGMENT, d=MATCH).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[-size:]
 
@@ -105,12 +110,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, max_bytes: int = 4096, dictionary_bytes: int = 112_640) -> Model:
-    """A model from docs (id, text) and labels (id, label 0 or 1). max_rows labels of each class, in the order of a hash of their ids, are looked up in docs; max_bytes of each text reach the driver."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, dictionary_bytes: int = 112_640) -> Model:
+    """A model from docs (id, text) and labels (id, label 0 or 1). max_rows labels of each class, in the order of a hash of their ids, are looked up in docs; their texts reach the driver."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).distinct()
     picked = [tuple(r) for y in (0, 1) for r in rows.filter(F.col("y") == y).orderBy("h", "id").limit(max_rows).collect()]
     wanted = spark.createDataFrame(picked, rows.schema)  # 2 * max_rows ids at most, so it may be broadcast
-    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 1, max_bytes)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     found = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(F.broadcast(wanted), "id").select("y", "h", "t").collect()
     got = {k: [bytes(t) for y, _, t in sorted(tuple(r) for r in found) if y == k] for k in (0, 1)}
     halves = {y: (t, got[y][1::2]) for y, t in without_repeats({y: t[::2] for y, t in got.items()}).items()}
