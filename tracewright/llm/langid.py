@@ -3,31 +3,36 @@
 Each language's labelled text becomes a suffix automaton. A text is parsed
 against it greedily: every phrase is the longest match from where the last one
 ended (a character that the language never shows is a phrase of its own). A text
-of a language breaks into few phrases of its automaton and many of the others';
-the language that needs the fewest, per character, wins.
-
-Phrases don't cross the ends of words: a word is a run of letters, lower-cased,
-with a mark before and after it. So the phrases of a text are the sum of those
-of its words, and the words that each worker has parsed are kept (up to
-``CACHE``; then it starts anew, which changes no result).
-
-All languages learn from equally long text, as a longer one would give longer
-matches: ``max_chars`` characters each, of rows in the order of a hash of their
-ids, or what the smallest language has if that is over ``min_chars``.
-
-Predictions: ``und`` for a null text, a text without a letter, or where no
-language was learned. Ties go to the first language in alphabetical order. The
-score is the winner's share in a softmax of minus the phrases per character,
-scaled by ``SHARP``.
+of a language breaks into few phrases of its automaton and many of the others'.
+
+A phrase names a place in the learned text, which takes the logarithm of that
+text's length; so phrases times that logarithm, per character, estimate the
+cross entropy, and languages may learn from texts of different lengths. The
+least wins.
+
+What is learned and parsed is a text's words, runs of letters (``str.isalpha``)
+in lower case, with one space around each; matches run across words.
+
+Fitting takes at most ``max_docs`` labelled rows of each language, in the order of
+a hash of their ids, and their whole texts; that bound is the only one. Null
+languages and texts are left out; repeated rows count again. The automata take
+some hundred bytes for each character learned, in every worker.
+
+Predictions cover whole texts: ``und`` for a null text, a text without a letter
+(an empty one too), or where no language was learned. Ties go to the first
+language in alphabetical order. The score is the winner's share in a softmax of
+minus the entropies, scaled by ``SHARP``. Repeated rows are predicted alike, and
+no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +41,18 @@ from pyspark.sql import types as T
 from tracewright.llm.shared import kept
 
 UNDETERMINED = "und"
-CACHE = 400_000
 MARK = " "
-LETTERS = re.compile(r"[^\W\d_]+")
-SHARP = 40.0
+BETWEEN = "\n"
+ALNUM = re.compile(r"[^\W\d_]+")
+SHARP = 4.0
 
 
 class SuffixAutomaton:
-    """All substrings of a text; longest() walks as far as they go."""
+    """All substrings of a text. States with one way on are kept in arrays, only branching ones in dictionaries."""
 
     def __init__(self, text: str):
         nexts: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
+        link, length, last = array("i", [-1]), array("i", [0]), 0
         for c in text:
             now = len(nexts)
             nexts.append({})
@@ -71,24 +76,30 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
-        self.nexts = nexts
+        self.size = len(text)
+        self.many = [d if len(d) > 1 else None for d in nexts]
+        self.char = "".join([next(iter(d)) if len(d) == 1 else "\0" for d in nexts])
+        self.to = array("i", [next(iter(d.values())) if len(d) == 1 else 0 for d in nexts])
 
     def phrases(self, text: str) -> int:
         """How many longest matches, one after the other, make up the text."""
-        n, start = 0, self.nexts[0]
-        state = start
+        many, char, to = self.many, self.char, self.to
+        start = many[0] or ({char[0]: to[0]} if to[0] else {})
+        n, state = 0, 0
         for c in text:
-            to = state.get(c)
-            if to is None:
-                n += 1
-                to = start.get(c)
-                if to is None:  # unknown: the phrase before ended, and this one is its own
-                    n += state is not start
-                    state = start
-                    continue
-                n -= state is start
-            state = self.nexts[to]
-        return n + (state is not start)
+            ways = many[state]
+            if ways is not None:
+                then = ways.get(c, 0)
+            else:
+                then = to[state] if char[state] == c else 0
+            if not then:
+                if state:  # the phrase ends here, and the next begins with c
+                    n += 1
+                    then = start.get(c, 0)
+                if not then:
+                    n += 1
+            state = then
+        return n + (state > 0)
 
 
 @dataclass(frozen=True)
@@ -97,16 +108,25 @@ class Model:
     texts: tuple[str, ...]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. What the expression takes beside letters are numerals that aren't decimal digits."""
+    found = ALNUM.findall(text.lower())
+    if text.isascii():
+        return found
+    return [w for part in found for w in ((part,) if part.isalpha() else "".join(c if c.isalpha() else " " for c in part).split())]
+
+
 def marked(text: str) -> str:
-    """The text's words in the form that is learned and parsed."""
-    return MARK + MARK.join(LETTERS.findall(text.lower())) + MARK
+    """The text in the form that is learned and parsed; empty without a letter."""
+    words = words_of(text)
+    return MARK + MARK.join(words) + MARK if words else ""
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars: int = 40_000, min_chars: int = 10_000, max_doc_chars: int = 4_000, max_docs: int = 400) -> Model:
-    """A model from rows (id, text, language); null languages and texts are left out. At most max_docs rows of each language and max_doc_chars of each reach the driver."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 32) -> Model:
+    """A model from rows (id, text, language). At most max_docs rows of each language reach the driver, whole."""
     from pyspark.sql import Window
 
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col).cast("string"), 1, max_doc_chars).alias("t"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
     # A hash bound first, so that no language's rows all meet in one window: it leaves every language more than max_docs rows, or all it has.
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -114,58 +134,34 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     span = 1 << 40
     bound = F.lit(0).cast("long")
     for lang, n in sizes.items():
-        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 3 * max_docs / n) * span))).otherwise(bound)
+        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, max(3 * max_docs, max_docs + 100) / n) * span))).otherwise(bound)
     near = rows.filter(F.pmod(F.col("h"), F.lit(span)) < bound)
     best = Window.partitionBy("lang").orderBy("h", "t")
     picked = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_docs).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
-        texts.setdefault(r["lang"], []).append(marked(r["t"]))
-    whole = {lang: MARK.join(own) for lang, own in sorted(texts.items())}
-    size = min([max_chars, *(max(min_chars, len(t)) for t in whole.values())])
-    return Model(tuple(whole), tuple(t[:size] for t in whole.values()))
+        if own := marked(r["t"]):
+            texts.setdefault(r["lang"], []).append(own)
+    return Model(tuple(sorted(texts)), tuple(BETWEEN.join(texts[lang]) for lang in sorted(texts)))
 
 
 class Parser:
     def __init__(self, model: Model):
         self.languages = model.languages
         self.automata = [SuffixAutomaton(t) for t in model.texts]
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((CACHE, len(self.languages)), dtype=np.int32)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > CACHE:
-            self.at.clear()
-        for w in words:
-            self.at[w] = n = len(self.at)
-            self.table[n] = [a.phrases(f"{MARK}{w}{MARK}") for a in self.automata]
-
-    def phrases(self, text: str) -> tuple[np.ndarray, int]:
-        """Phrases by language, and the characters that they cover."""
-        words = LETTERS.findall(text.lower())
-        total, at = np.zeros(len(self.languages), dtype=np.int64), self.at
-        for i in range(0, len(words), CACHE // 4):
-            part = words[i : i + CACHE // 4]
-            try:
-                rows = [at[w] for w in part]
-            except KeyError:
-                self._learn({w for w in part if w not in at})
-                if missing := {w for w in part if w not in at}:
-                    self._learn(missing)
-                rows = [at[w] for w in part]
-            total += self.table[rows].sum(0)
-        return total, sum(map(len, words)) + 2 * len(words)
+        self.bits = [math.log2(a.size + 1) for a in self.automata]
+
+    def entropies(self, own: str) -> list[float]:
+        """Of a marked text, in bits a character, by language."""
+        return [a.phrases(own) * bits / len(own) for a, bits in zip(self.automata, self.bits, strict=True)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages:
-            return UNDETERMINED, 0.0
-        n, chars = self.phrases(text)
-        if not chars:
+        own = marked(text) if text is not None and self.languages else ""
+        if not own:
             return UNDETERMINED, 0.0
-        rate = n / chars
-        e = np.exp(-SHARP * (rate - rate.min()))
-        best = int(np.argmin(rate))
-        return self.languages[best], float(e[best] / e.sum())
+        found = self.entropies(own)
+        least = min(found)
+        return self.languages[found.index(least)], 1.0 / sum([math.exp(-SHARP * (x - least)) for x in found])
 
 
 def _predict(model, with_text: bool):
