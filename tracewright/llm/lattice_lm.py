@@ -6,25 +6,29 @@ segmentation; the forward recursion in log space sums over all paths. Pieces
 that begin with the word mark begin a word and no others do, so the lattices of
 a text's words are independent, and each distinct word is worked out once.
 
-Weights: the vocabulary's own scores rank its pieces, which gives every piece a
-Zipf prior; the corpus adds how often pieces occur in the distinct words of the
-training texts, first in the vocabulary's own segmentation, then as expected
-over all segmentations. Pieces add up to 1, and so do the marginals of all words.
-
-The lattice of a word that the training texts hold has one edge more, over the
-whole word, of its discounted frequency: with c of N tokens (words and ends of
-texts), V distinct words and absolute discount d, a word has probability
-``(c - d) / N + d V / N * lattice(word)`` and an end ``ends / N``. All tokens
-add up to 1. d is n1 / (n1 + 2 n2) of the counts of counts.
+Weights come from the vocabulary's scores alone, by one map: a piece whose score
+ranks r-th (from 0) weighs ``1 / (ZIPF + r)``, over the sum of all. A unigram
+vocabulary's scores are log probabilities already; those of a BPE vocabulary are
+ranks, and Zipf's law turns ranks into probabilities. Byte pieces have no score
+and rank last. Pieces add up to 1, and so do the marginals of all words.
+
+A text is its words and one end. Without word pieces (``word_pieces=False``, the
+default) all that is learned is how likely an end is: ``ends / N`` of N training
+tokens; a word has the rest times its lattice. With them the words of the
+training texts join the vocabulary as pieces of their own, which have one more
+edge over the whole word: with c of N tokens, V distinct words and absolute
+discount d, a word has probability ``(c - d) / N + d V / N * lattice(word)``.
+Either way all tokens add up to 1. d is n1 / (n1 + 2 n2) of the counts of counts.
 
 At scale: words are counted within each task first, then by key. The ``HOT``
-most frequent words of at most ``HOT_BYTES`` bytes (a bounded broadcast) are
-scored where the text is read; only other words travel, one row per document
-and distinct word, to be joined with the counts. Words that no training text
-holds get their lattice after that join.
-
-Nulls: a null text is empty and has one token, its end. Without training texts
-N is 0, and words and ends are taken to be equally likely.
+most frequent words, of ``HOT_BYTES`` bytes together at most (a bounded
+broadcast), are scored where the text is read; only other words travel, one row
+per document and distinct word, to be joined with the counts. Words that no
+training text holds get their lattice after that join.
+
+A null text is empty and has one token, its end. Repeated rows and ids are scored
+as rows of their own, and no rows give no rows. Without training texts N is 0,
+and words and ends are taken to be equally likely.
 """
 
 from __future__ import annotations
@@ -41,12 +45,11 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import kept, settle
 
 HOT = 1 << 16
-HOT_BYTES = 64
+HOT_BYTES = 4 << 20
 FLUSH = 250_000
 MARK = "▁"
-#: Where the Zipf prior begins, and how many pieces it counts as.
+#: Where the map from ranks to weights begins.
 ZIPF = 10.0
-PRIOR = 1_000.0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -63,9 +66,10 @@ def open_pieces(path: str) -> tuple[list[str], list[float]]:
     return ["" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)]
 
 
-def prior(pieces: list[str], scores: list[float]) -> list[float]:
-    """Zipf weights by the rank of a piece's score; single characters and bytes come last in a BPE vocabulary but must stay possible, as all do."""
-    order = sorted((i for i, p in enumerate(pieces) if p), key=lambda i: (-scores[i], i))
+def weights_of(pieces: list[str], scores: list[float]) -> list[float]:
+    """The weights of the module's text; of equal scores the earlier piece ranks first. Control pieces weigh nothing."""
+    is_byte = [len(p) == 6 and p.startswith("<0x") for p in pieces]
+    order = sorted((i for i, p in enumerate(pieces) if p), key=lambda i: (is_byte[i], -scores[i], i))
     out = [0.0] * len(pieces)
     for rank, i in enumerate(order):
         out[i] = 1.0 / (ZIPF + rank)
@@ -124,69 +128,27 @@ class Lattice:
             before, out[k] = text, alpha[-1]
         return out
 
-    def expect(self, words: list[str]) -> dict[str, float]:
-        """How often each piece is expected over all segmentations of these words, each word once."""
-        logp, ends, exp, longest = self.logp, self.ends, math.exp, self.longest
-        out: dict[str, float] = {}
-        before, alpha = "", [0.0]
-        for word in sorted(words):
-            text = MARK + word
-            n = 0
-            for a, b in zip(before, text, strict=False):
-                if a != b:
-                    break
-                n += 1
-            self.forward(text, alpha, n)
-            before = text
-            size = len(text)
-            share = [0.0] * (size + 1)  # of all paths, those that pass a place
-            share[size] = 1.0
-            for i in range(size, 0, -1):
-                if not share[i]:
-                    continue
-                own, covered = share[i], False
-                for j in range(i - 1, max(-1, i - 1 - longest), -1):
-                    piece = text[j:i]
-                    if piece not in ends:
-                        break
-                    w = logp.get(piece)
-                    if w is not None:
-                        covered = True
-                        x = own * exp(w + alpha[j] - alpha[i])
-                        share[j] += x
-                        out[piece] = out.get(piece, 0.0) + x
-                if not covered:
-                    share[i - 1] += own
-        return out
-
 
 @dataclass(frozen=True)
 class Totals:
     tokens: int  # N
     distinct: int  # V, the end included
     ends: int
-    discount: float
+    discount: float  # 0 without word pieces
 
     @property
     def unseen(self) -> float:
-        """The share of words that the lattice stands for."""
-        return self.discount * (self.distinct - (self.ends > 0)) / self.tokens if self.tokens else 0.5
-
-    def word(self, c: int, lattice: float) -> float:
-        """log10 probability of a word that occurs c times."""
-        whole = (c - self.discount) / self.tokens if c else 0.0
-        part = math.log(self.unseen) + lattice if self.unseen > 0 else -math.inf
-        if part == -math.inf and not whole:  # no training word at all
-            return (math.log(0.5) + lattice) / math.log(10)
-        top = max(math.log(whole) if whole > 0 else -math.inf, part)
-        return (top + math.log((whole * math.exp(-top) if whole else 0.0) + math.exp(part - top))) / math.log(10)
-
-    def many(self, c, lattice):
-        """The same of arrays."""
+        """The share of tokens that the lattice stands for."""
+        if not self.tokens:
+            return 0.5
+        return (self.discount * (self.distinct - (self.ends > 0)) if self.discount else self.tokens - self.ends) / self.tokens
+
+    def words(self, c, lattice):
+        """log10 probabilities of words that occur c times (arrays)."""
         import numpy as np
 
         with np.errstate(divide="ignore"):
-            whole = np.log(np.where(c > 0, (c - self.discount) / max(self.tokens, 1), 0.0))
+            whole = np.log(np.where((c > 0) & (self.discount > 0), (c - self.discount) / max(self.tokens, 1), 0.0))
         both = np.logaddexp(whole, math.log(self.unseen) + lattice) if self.unseen > 0 else whole
         return np.where(np.isneginf(both), math.log(0.5) + lattice, both) / math.log(10)
 
@@ -215,32 +177,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _piece_counts(path: str):
-    def run(batches):
-        import numpy as np
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = np.zeros(sp.get_piece_size(), dtype=np.int64)
-        for batch in batches:
-            for ids in sp.encode(batch.column(0).to_pylist(), num_threads=1):
-                np.add.at(n, ids, 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["piece", "n"])
-
-    return run
-
-
-def _expected(shared):
-    def run(batches):
-        lattice, total = Lattice(*shared.value), Counter()
-        for batch in batches:
-            total.update(lattice.expect(batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["piece", "n"])
-
-    return run
-
-
 def _marginals(shared):
     def run(batches):
         lattice = Lattice(*shared.value)
@@ -259,7 +195,8 @@ def _read_texts(hot, totals: Totals):
     def run(batches):
         import numpy as np
 
-        known = {w.encode(): (totals.base(c), totals.word(c, lattice)) for w, c, lattice in hot.value}
+        scores = totals.words(*(np.array([x[i] for x in hot.value], dtype=np.float64) for i in (1, 2))).tolist()
+        known = {w.encode(): (totals.base(c), x) for (w, c, _), x in zip(hot.value, scores, strict=True)}
         end = (totals.base(totals.ends), totals.end())
         for batch in batches:
             sums: list[tuple] = []
@@ -303,38 +240,42 @@ def _sum_rare(totals: Totals, shared):
                 lattice[new] = np.array(model.words(words.dictionary.to_pylist()))[words.indices.to_numpy()]
             distinct, place = np.unique(counts, return_inverse=True)
             base = np.array([totals.base(c) for c in distinct.tolist()])[place] if len(tf) else lattice
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(counts > 0, tf, 0)), pa.array(tf * base), pa.array(tf * totals.many(counts, lattice))], ["row", "n_known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(counts > 0, tf, 0)), pa.array(tf * base), pa.array(tf * totals.words(counts, lattice))], ["row", "n_known", "base", "score"])
 
     return run
 
 
-def fit(spark: SparkSession, texts: DataFrame, path: str, em_rounds: int = 1) -> tuple[DataFrame, Totals, tuple[list[str], list[float]]]:
+def fit(spark: SparkSession, texts: DataFrame, path: str, word_pieces: bool = False) -> tuple[DataFrame, Totals, tuple[list[str], list[float]]]:
     """(counts: word, c, lattice), totals and weighted pieces from a column of training texts."""
     counts = settle(spark, texts.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).sortWithinPartitions("word"), "lm-counts")  # neighbours share the recursion over their prefixes
     ends = texts.count()
     n, v, n1, n2 = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    totals = Totals(n + ends, v + (ends > 0), ends, min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5)
+    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    totals = Totals(n + ends, v + (ends > 0), ends, discount if word_pieces else 0.0)
     pieces, scores = open_pieces(path)
-    weights = [PRIOR * x for x in prior(pieces, scores)]
-    seen = counts.select("word").mapInArrow(_piece_counts(path), "piece int, n long").groupBy("piece").agg(F.sum("n")).collect()  # a row per piece at most
-    for i, k in seen:
-        if pieces[i]:
-            weights[i] += k
-    for _ in range(em_rounds):
-        shared = spark.sparkContext.broadcast((pieces, weights))
-        expected = dict(counts.select("word").mapInArrow(_expected(shared), "piece string, n double").groupBy("piece").agg(F.sum("n")).collect())
-        weights = [PRIOR * x + expected.get(p, 0.0) for p, x in zip(pieces, prior(pieces, scores), strict=True)]
-    model = (pieces, weights)
+    model = (pieces, weights_of(pieces, scores))
     with_lattice = counts.mapInArrow(_marginals(spark.sparkContext.broadcast(model)), "word string, c long, lattice double")
     return settle(spark, with_lattice, "lm-lattice"), totals, model
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, held_out, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hot_words(spark: SparkSession, counts: DataFrame) -> list[tuple[str, int, float]]:
+    """The HOT most frequent words (with c and lattice), left out where they take more than what is left of HOT_BYTES. Hashes and lengths come to the driver first, then the words that fit."""
+    own = F.xxhash64("word")
+    top = counts.select(own.alias("h"), "c", F.octet_length("word").alias("size")).orderBy(F.desc("c"), "h").limit(HOT).collect()
+    room, fits = HOT_BYTES, []
+    for h, _, size in top:
+        if size <= room:
+            room -= size
+            fits.append((h,))
+    chosen = spark.createDataFrame(fits, "h long")  # HOT rows at most
+    return [tuple(r) for r in counts.join(F.broadcast(chosen), own == F.col("h"), "left_semi").select("word", "c", "lattice").collect()]
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, held_out, path: str, id_col: str = "doc_id", text_col: str = "text", word_pieces: bool = False) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of each of docs; rows where held_out is false train. A repeated id is scored as rows of its own."""
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    counts, totals, model = fit(spark, rows.filter(~F.col("held_out")).select("text"), path)
-    hot = counts.filter(F.length(F.col("word").cast("binary")) <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT)
-    hot = spark.sparkContext.broadcast([tuple(r) for r in hot.collect()])
+    counts, totals, model = fit(spark, rows.filter(~F.col("held_out")).select("text"), path, word_pieces)
+    hot = spark.sparkContext.broadcast(hot_words(spark, counts))
     id_type = docs.schema[id_col].dataType.simpleString()
     read = rows.mapInArrow(_read_texts(hot, totals), f"row struct<id: {id_type}, n: bigint>, held_out boolean, word string, n long, n_known long, base double, score double")
     read = settle(spark, read, "lm-read")

@@ -52,7 +52,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score_texts(spark, table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10), PIECES)
+    return lattice_lm.score_texts(spark, table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10), PIECES, word_pieces=True)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
