@@ -246,6 +246,41 @@ def test_token_output(spark, docs, empty, size, tmp_path):
     assert wavelet.read_documents(spark, wavelet.write_shards(spark, empty, queries.BYTE_VOCABULARY)).count() == 0
 
 
+def quality_by_hand(spark, rows):
+    """Every score from the model's dictionaries and weights, one compressor call for each block."""
+    import zstandard
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = queries.quality_model(spark, table, "/root/testdata/sf0.01")
+    params = zstandard.ZstdCompressionParameters.from_level(quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(side, text):
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(side), compression_params=params)
+        return sum(len(c.compress(text[at : at + quality.BLOCK])) for at in range(0, len(text), quality.BLOCK))
+
+    for r in table.orderBy("doc_id").collect()[::7]:
+        text = (r.text or "").encode()
+        good, bad = size(model.good, text), size(model.bad, text)
+        z = model.weights[-1]
+        if text:
+            x = ((bad - good) / len(text), min(good, bad) / len(text))
+            z += sum(w * (a - m) / s for w, a, m, s in zip(model.weights, x, model.mean, model.scale, strict=False))
+        assert abs(rows[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) < 1e-2
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the classes apart stands after the first 5,000 bytes."""
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = []
+    for i in range(160):
+        rows.append((i, " ".join([word("abcdefgh") for _ in range(900)] + [word("klmno" if i % 2 else "rstuv") for _ in range(300)]), i % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(spark, table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    got = {r.doc_id: r.score for r in quality.score(table, model).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
 def test_quality(spark, docs, empty):
     rows = {r.doc_id: r for r in queries.op4_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
@@ -253,6 +288,7 @@ def test_quality(spark, docs, empty):
     assert sum(a == b for a, b in own) >= 0.95 * len(own)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows.values())
     no_labels = spark.createDataFrame([], "doc_id long, quality int")
+    quality_by_hand(spark, rows)
     model = quality.fit(spark, docs, no_labels)
     scored = quality.score(docs, model, with_text=True)
     assert set(scored.columns) == {*docs.columns, "score"} and {r.score for r in scored.collect()} == {0.5}
@@ -269,6 +305,34 @@ def test_language(spark, docs, empty):
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[4] == ("en", 1.0)
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
+    own = spark.createDataFrame([(1, "½ ² Ⅷ", 1), (2, "123 …", 2), (3, "x²", 3), (4, "x" * 300_000, 4), (4, "x" * 300_000, 4)], "doc_id long, text string, score int")
+    assert [r.lang_pred for r in langid.predict(own, model).orderBy("doc_id").collect()] == ["und", "und", "en", "en", "en"]
+
+
+def test_language_by_hand(spark):
+    """Entropies from longest matches that are looked for in the learned text itself; the later part of long texts is learned too."""
+    rng = random.Random(10)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "éßñab"}
+    rows = [(i, " ".join(word(letters[k]) for _ in range(rng.randint(1, 40))), k) for i, k in enumerate(list(letters) * 6)]
+    rows.append((99, "abc " * 3000 + "zzyyxx " * 3, "aa"))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("aa", "bb", "cc") and "zzyyxx" in model.texts[0]
+
+    def entropy(learned, own):
+        n, at = 0, 0
+        while at < len(own):
+            at += max((k for k in range(1, min(60, len(own) - at) + 1) if own[at : at + k] in learned), default=1)
+            n += 1
+        return n * np.log2(len(learned) + 1) / len(own)
+
+    asked = [" ".join(word(letters[k]) for _ in range(8)) for k in letters for _ in range(6)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for text, r in zip(asked, got, strict=True):
+        own = " " + " ".join(text.split()) + " "
+        want = [entropy(t, own) for t in model.texts]
+        assert r.lang_pred == model.languages[int(np.argmin(want))]
+        assert abs(r.score - 1 / sum(np.exp(-langid.SHARP * (x - min(want))) for x in want)) < 1e-9
 
 
 def test_suffix_automaton():
@@ -293,35 +357,51 @@ def test_lattice():
     words = ["abba", "a", "ab", "aba", "", "bbb"]
     assert np.allclose(np.exp(m.words(words)), [total("▁" + w) for w in words])
 
-    def paths(t):
-        return [[]] if not t else [[t[:k], *rest] for k in range(1, len(t) + 1) if t[:k] in p for rest in paths(t[k:])]
-
-    want = defaultdict(float)
-    for w in words:
-        every = [(np.prod([p[x] for x in own]), own) for own in paths("▁" + w)]
-        for share, own in every:
-            for x in own:
-                want[x] += share / sum(s for s, _ in every)
-    got = m.expect(words)
-    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
-
 
 def test_lm(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lattice_lm, "HOT", 3)
     held = queries.held_out(F.col("doc_id"), 10)
-    got = {r.doc_id: r for r in lattice_lm.score_texts(spark, docs, held, queries.PIECES).collect()}
-    texts = {i: [w for w in (t or "").translate(UP).replace("\v", " ").encode().split()] + [None] for i, t, *_ in corpus()}
+    texts = {i: [w.decode() for w in (t or "").translate(UP).encode().split()] + [None] for i, t, *_ in corpus()}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     c = Counter(w for i, t in texts.items() if not out[i] for w in t)
     n, v = sum(c.values()), len(c)
-    for i, t in texts.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert abs(r.base_score - sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
-        assert r.score < 0
+    pieces, scores = lattice_lm.open_pieces(queries.PIECES)
+    is_byte = lambda p: p.startswith("<0x") and len(p) == 6
+    ranked = sorted([i for i, p in enumerate(pieces) if p], key=lambda i: (is_byte(pieces[i]), -scores[i], i))
+    total = sum(1 / (10 + r) for r in range(len(ranked)))
+    weight = {pieces[i]: 1 / (10 + r) / total for r, i in enumerate(ranked)}
+    once, twice = (sum(k == m for w, k in c.items() if w is not None) for m in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    def lattice(word):
+        """Every way to the word, place by place, in plain probabilities."""
+        text, ways = "▁" + word, [1.0]
+        for i in range(1, len(text) + 1):
+            own = [ways[j] * weight[text[j:i]] for j in range(i) if text[j:i] in weight and not is_byte(text[j:i])]
+            ways.append(sum(own) if own else ways[-1] * np.prod([weight[f"<0x{x:02X}>"] for x in text[i - 1].encode()]))
+        return ways[-1]
+
+    chance = {w: lattice(w) for t in texts.values() for w in t if w is not None}
+    for word_pieces in (False, True):
+        got = {r.doc_id: r for r in lattice_lm.score_texts(spark, docs, held, queries.PIECES, word_pieces=word_pieces).collect()}
+        for i, t in texts.items():
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
+            assert abs(r.base_score - sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
+            known = lambda w: max(c[w] - d, 0) / n + d * (v - 1) / n * chance[w] if word_pieces else (1 - c[None] / n) * chance[w]  # noqa: B023, E731
+            want = sum(np.log10(c[None] / n if w is None else known(w)) for w in t)
+            assert abs(r.score - want) < 1e-6 * max(1, abs(want))
     assert lattice_lm.score_texts(spark, empty, held, queries.PIECES).count() == 0
     t = lattice_lm.Totals(100, 11, 10, 0.5)  # known words, the rest and the end add up to 1
     assert abs(sum((k - 0.5) / 100 for k in [9] * 10) + t.unseen + 0.1 - 1) < 1e-12
+    assert abs(lattice_lm.Totals(100, 11, 10, 0.0).unseen + 0.1 - 1) < 1e-12
+
+
+def test_hot_words(spark, monkeypatch):
+    """A long word is among them as long as it fits; one that doesn't leaves room for others."""
+    monkeypatch.setattr(lattice_lm, "HOT_BYTES", 130)
+    counts = spark.createDataFrame([("x" * 100, 9, -1.0), ("y" * 200, 8, -1.0), ("z" * 30, 7, -1.0), ("w", 6, -1.0)], "word string, c long, lattice double")
+    assert sorted(lattice_lm.hot_words(spark, counts)) == [("x" * 100, 9, -1.0), ("z" * 30, 7, -1.0)]
 
 
 def test_fingerprints_and_groups(spark, docs, empty):
