@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,17 +21,32 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _settled: dict[str, list[str]] = {}
 
 
+#: So many rows of a few numbers make a file of a settled table worth its own task.
+FILE_ROWS = 1 << 14
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own if all runs on this machine, and an error on a cluster, whose executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"/tmp/checkpoints/tracewright-{os.getuid()}"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        found = f"{tempfile.gettempdir()}/tracewright-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def settle(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
+def settle(spark: SparkSession, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: the lineage ends there, and a lost executor loses nothing.
+
+    rows: how many rows there are at most, if that is known and each is a few numbers. A small table then goes into a file for FILE_ROWS rows, and
+    one for each core at least, rather than one for each shuffle partition: every file costs a process or a request.
+    """
+    if rows is not None:
+        files = max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+        if files < partitions(spark):
+            df = df.coalesce(files)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
