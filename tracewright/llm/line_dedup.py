@@ -11,23 +11,31 @@ State of a :class:`LineIndex` (tables in the shared folder):
 * ``refs``: the exact reference counts (key, n_docs, max_doc);
 * ``filters``: one cuckoo filter of the active keys for each shard of the keys.
 
-``insert`` adds documents and ``delete`` takes documents out again; both touch
-the counts of the keys concerned only, and the filters of their shards only,
-by inserting or deleting fingerprints. A deletion undoes an insertion: the
-lines it made redundant come back.
-
-``apply`` probes the filters first. While the filters and the active part of
-the reference counts stay within ``broadcast_bytes`` (checked), both go to the
-tasks and documents don't move. Beyond that, the exact counts are joined to the
-postings by key and the decisions to the documents by id.
+``insert`` adds documents and ``delete`` takes documents out again. Both count anew
+the keys concerned only, and change only the filters of their shards, by
+inserting or deleting fingerprints; tables are written anew, as files don't
+change. A deletion undoes an insertion: the lines it made redundant come back. A
+document that is inserted twice counts twice; deleting its id takes both out.
+
+``apply`` probes the filters first, and then looks up the exact counts of what
+they let through. While the filters and the active part of the reference counts
+stay within ``broadcast_bytes`` (checked), both go to the tasks and documents
+don't move. Beyond that, (key, doc) rows of the documents are joined with the
+exact counts by key, after the filters were probed where the rows are, if they
+can be sent there; else the distinct keys go to their shard's filter.
+
+There are ``shards`` shards; by default as many as give each ``SHARD_KEYS`` active
+keys when the index is begun, 64 at least.
 
 Nulls: a null text is one empty line. A null id ranks below every other id;
 where all holders of a key have null ids, all keep it. Each row counts as a
-document of its own. Keys are compared by 128-bit hashes.
+document of its own. Keys are compared by 128-bit hashes. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -37,10 +45,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shared import kept, settle
+from tracewright.llm.shared import kept, partitions, settle, sorted_groups
 
 SLOTS = 4
 MAX_KICKS = 500
+SHARD_KEYS = 1 << 18
 
 
 class CuckooFilter:
@@ -49,7 +58,7 @@ class CuckooFilter:
     def __init__(self, buckets: np.ndarray, stash: list[int] | None = None):
         self.buckets = buckets
         self.mask = len(buckets) - 1
-        self.stash = set(stash or ())  # whole hashes that found no place
+        self.stash = Counter(stash or ())  # how many fingerprints (with a place of theirs) found no room
 
     @classmethod
     def sized(cls, n: int) -> CuckooFilter:
@@ -85,10 +94,10 @@ class CuckooFilter:
                 fp = out
                 at = (at ^ ((fp * 0x5BD1E995) >> 7)) & self.mask
             else:  # full: twice the size needs the hashes; keep what was pushed out as a bucket pair
-                self.stash.add((at << 16) | fp)
+                self.stash[(at << 16) | fp] += 1
 
     def delete(self, hashes: np.ndarray) -> None:
-        """Hashes that are in the filter."""
+        """Hashes that are in the filter, as often as they were inserted. One that isn't may take another's fingerprint away, so the exact counts decide what is deleted."""
         fps, ones, twos = (x.tolist() for x in self._places(hashes))
         for fp, one, two in zip(fps, ones, twos, strict=True):
             for at in (one, two):
@@ -96,18 +105,20 @@ class CuckooFilter:
                     self.buckets[at, hit[0]] = 0
                     break
             else:
-                self.stash -= {(one << 16) | fp} if (one << 16) | fp in self.stash else {(two << 16) | fp}
+                at = next((x for x in ((one << 16) | fp, (two << 16) | fp) if self.stash[x]), None)
+                if at is not None:
+                    self.stash -= Counter([at])
 
     def contains(self, h: np.ndarray) -> np.ndarray:
         fp, one, two = self._places(h)
         hit = (self.buckets[one] == fp[:, None]).any(1) | (self.buckets[two] == fp[:, None]).any(1)
         if self.stash:
             for at in (one, two):
-                hit |= np.isin((at << np.uint64(16)) | fp, np.fromiter(self.stash, dtype=np.uint64))
+                hit |= np.isin((at << np.uint64(16)) | fp.astype(np.uint64), np.fromiter(self.stash, dtype=np.uint64))
         return hit
 
     def to_bytes(self) -> bytes:
-        return len(self.buckets).to_bytes(8, "little") + self.buckets.tobytes() + np.fromiter(sorted(self.stash), dtype=np.uint64).tobytes()
+        return len(self.buckets).to_bytes(8, "little") + self.buckets.tobytes() + np.fromiter(sorted(self.stash.elements()), dtype=np.uint64).tobytes()
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> CuckooFilter:
@@ -183,7 +194,7 @@ class LineIndex:
     spark: SparkSession
     min_chars: int = 20
     min_docs: int = 3
-    shards: int = 64
+    shards: int | None = None
     broadcast_bytes: int = 64 << 20
     postings: DataFrame | None = None
     refs: DataFrame | None = None
@@ -204,16 +215,18 @@ class LineIndex:
         return self.refs.filter(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with these documents too; ids that it holds already count again."""
+        """The index with these documents too; an id that it holds already counts again."""
         new = settle(self.spark, self._posted(docs, id_col, text_col), "line-postings")
         if self.refs is None:
-            refs = settle(self.spark, self._count(new), "line-refs")
-            out = replace(self, postings=new, refs=refs)
-            built = out.active().select("key", self._shard(F.col("key")).alias("shard")).groupBy("shard").applyInPandas(_build, "shard int, filter binary")
-            return replace(out, filters=settle(self.spark, built, "line-filters"))
-        added = self._count(new)
-        refs = self.refs.unionByName(added).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-        return self._moved(self.postings.unionByName(new), settle(self.spark, refs, "line-refs"))
+            out = replace(self, postings=new, refs=settle(self.spark, self._count(new), "line-refs"))
+            out = replace(out, shards=self.shards or max(64, -(-out.active().count() // SHARD_KEYS)))
+            built = out.active().select("key", out._shard(F.col("key")).alias("shard")).groupBy("shard").applyInPandas(_build, "shard int, filter binary")
+            return replace(out, filters=settle(self.spark, built, "line-filters", out.shards))
+        added = settle(self.spark, self._count(new), "line-added")
+        touched = added.select("key")
+        merged = self.refs.join(touched, "key", "left_semi").unionByName(added).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        refs = self.refs.join(touched, "key", "left_anti").unionByName(merged)
+        return self._moved(self.postings.unionByName(new), settle(self.spark, refs, "line-refs"), touched)
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index as if the documents with these ids had never been inserted."""
@@ -223,11 +236,12 @@ class LineIndex:
         touched = settle(self.spark, touched, "line-touched")
         counted = self._count(rest.join(touched, "key", "left_semi"))
         refs = self.refs.join(touched, "key", "left_anti").unionByName(counted)
-        return self._moved(rest, settle(self.spark, refs, "line-refs"))
+        return self._moved(rest, settle(self.spark, refs, "line-refs"), touched)
 
-    def _moved(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
+    def _moved(self, postings: DataFrame, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """With these postings and counts; the filters follow where a touched key became active or ceased to be."""
         out = replace(self, postings=postings, refs=refs)
-        was, now = self.active().select("key"), out.active().select("key")
+        was, now = (x.active().join(touched, "key", "left_semi").select("key") for x in (self, out))
         change = was.join(now, "key", "left_anti").withColumn("add", F.lit(False)).unionByName(now.join(was, "key", "left_anti").withColumn("add", F.lit(True)))
         change = settle(self.spark, change.withColumn("shard", self._shard(F.col("key"))), "line-change")
         kept = self.filters.join(change.select("shard").distinct(), "shard", "left_anti")
@@ -235,7 +249,7 @@ class LineIndex:
         moved = self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_update, "shard int, filter binary")
         moved = moved.join(change.select("shard").distinct(), "shard", "left_semi").join(over, "shard", "left_anti")
         rebuilt = out.active().select("key", self._shard(F.col("key")).alias("shard")).join(over, "shard", "left_semi").groupBy("shard").applyInPandas(_build, "shard int, filter binary")
-        return replace(out, filters=settle(self.spark, kept.join(over, "shard", "left_anti").unionByName(moved).unionByName(rebuilt), "line-filters"))
+        return replace(out, filters=settle(self.spark, kept.join(over, "shard", "left_anti").unionByName(moved).unionByName(rebuilt), "line-filters", self.shards))
 
     def _overfull(self, change: DataFrame) -> DataFrame:
         """Shards with more keys than their filter is sized for; these are built anew, at a fitting size."""
@@ -243,6 +257,13 @@ class LineIndex:
         room = self.filters.select("shard", ((F.length("filter") - 8) / 2 * 0.85).alias("room"))
         return n.join(room, "shard", "left").filter(F.col("room").isNull() | (F.col("n") > F.col("room"))).select("shard").join(change.select("shard").distinct(), "shard", "left_semi")
 
+    def _hits(self, keys: DataFrame) -> DataFrame:
+        """Those of distinct keys that their shard's filter holds. Keys go to the filters, in order, so that a task has one filter and a batch of keys at a time."""
+        blank = F.lit(None).cast("binary")
+        rows = self.filters.select("shard", "filter", blank.alias("key")).unionByName(keys.select(self._shard(F.col("key")).alias("shard"), blank.alias("filter"), "key"))
+        dealt = rows.repartition(max(partitions(self.spark), self.shards), "shard").sortWithinPartitions("shard", F.col("filter").isNull())
+        return dealt.mapInArrow(_probe_dealt, "key binary")
+
     def sizes(self) -> tuple[int, int]:
         """Bytes of all filters, and of the active reference counts as arrays."""
         f = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
@@ -259,12 +280,18 @@ class LineIndex:
             got = self.active().select("key", "max_doc").toArrow()
             keys = got.column("key").combine_chunks().to_pylist()
             order = np.argsort(lo := _half(keys, 0), kind="stable")
-            exact = sc.broadcast((lo[order], _half(keys, 1)[order], [got.column("max_doc")[i].as_py() for i in order.tolist()]))
-            run = _drop_exact(filters, exact, self.min_chars, self.shards)
+            largest = got.column("max_doc").combine_chunks()
+            exact = sc.broadcast((lo[order], _half(keys, 1)[order], largest.fill_null(0).to_numpy()[order], largest.is_null().to_numpy(zero_copy_only=False)[order]))
+            run = _drop_exact(filters, exact, self.min_chars, self.shards, uuid.uuid4().hex)
             found = out.withColumn("_drop", F.lit(None).cast("array<binary>"))
         else:
-            hits = self.postings if filters is None else self.postings.mapInArrow(_probe(filters, self.shards), "key binary, doc long")
-            lose = hits.join(self.active().select("key", "max_doc"), "key").filter(~F.col("doc").eqNullSafe(F.col("max_doc")))
+            posted = self._posted(docs, id_col, text_col)
+            if filters is not None:
+                hits, exact = posted.mapInArrow(_probe(filters, self.shards, uuid.uuid4().hex), "key binary, doc long"), self.active()
+            else:
+                hits = posted = settle(self.spark, posted, "line-asked")
+                exact = self.active().join(self._hits(posted.select("key").distinct()), "key", "left_semi")
+            lose = hits.join(exact.select("key", "max_doc"), "key").filter(~F.col("doc").eqNullSafe(F.col("max_doc")))
             lose = lose.groupBy(F.col("doc").alias("_lose")).agg(F.collect_set("key").alias("_drop"))
             found = out.join(lose, F.col("_doc").eqNullSafe(F.col("_lose")), "left").drop("_lose")
             run = _drop_listed(self.min_chars)
@@ -302,9 +329,9 @@ class _Filters:
         return out
 
 
-def _drop_exact(filters, exact, min_chars: int, shards: int):
+def _drop_exact(filters, exact, min_chars: int, shards: int, token: str):
     def run(batches):
-        probe, (lo, hi, keep) = _Filters(filters.value, shards), exact.value
+        probe, (lo, hi, keep, no_id) = kept(("line filters", token), lambda: _Filters(filters.value, shards)), exact.value
         for batch in batches:
             docs = batch.column(1).to_pylist()
             lines = [t.split(b"\n") for t in _texts(batch.column(2))]
@@ -316,7 +343,7 @@ def _drop_exact(filters, exact, min_chars: int, shards: int):
                 i = int(np.searchsorted(lo, a))
                 while i < len(lo) and lo[i] == a:
                     if hi[i] == b:
-                        largest[k] = keep[i]
+                        largest[k] = None if no_id[i] else int(keep[i])
                         break
                     i += 1
             texts, n, dropped = [], [], []
@@ -346,15 +373,29 @@ def _drop_listed(min_chars: int):
     return run
 
 
-def _probe(filters, shards: int):
+def _probe(filters, shards: int, token: str):
     def run(batches):
-        probe = _Filters(filters.value, shards)
+        probe = kept(("line filters", token), lambda: _Filters(filters.value, shards))
         for batch in batches:
             yield batch.filter(pa.array(probe.hits(batch.column(0).to_pylist())))
 
     return run
 
 
+def _probe_dealt(batches):
+    now = None
+    for _, first, rows in sorted_groups(batches, ["shard"]):
+        if first:
+            now = None  # a shard without a filter holds no key
+        blobs, keys = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+        at = 0
+        if blobs[0] is not None:
+            now, at = CuckooFilter.from_bytes(blobs[0]), 1
+        if now is not None and keys[at:]:
+            own = pa.array(keys[at:], pa.binary())
+            yield pa.RecordBatch.from_arrays([own.filter(pa.array(now.contains(_half(keys[at:], 0))))], ["key"])
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One batch through a new index."""
     return LineIndex(spark, **options).insert(docs, id_col, text_col).apply(docs, id_col, text_col)
