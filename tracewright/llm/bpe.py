@@ -12,8 +12,10 @@ cut a text into words; the merges are ours:
 * Where a vocabulary marks word ends, the last symbol of a word differs from the
   same symbol inside; the walk tries it as a separate step that nothing shares.
 
-Encodings of words are kept in each worker process, up to ``CACHE`` words; then
-the store is emptied and filled again, which changes no result.
+Words of over ``LONG`` symbols are walked alone, without a trie. Encodings of
+shorter words are kept in each worker process, up to ``CACHE`` words; then the
+store is emptied and filled again, which changes no result. A null text is empty;
+empty texts have no tokens, and no rows give no rows.
 
 Texts in Latin-1 (they are in normal form NFC already) are cut with a plain
 regular expression; all others go through the library's own normaliser and
@@ -28,7 +30,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ from tracewright.llm.shared import kept
 
 CACHE = 600_000
 PIECE = 1 << 19
+WORD = 24  # a word's characters on average, at most, for the store to hold CACHE words
+LONG = 256  # words of more symbols share no prefixes
 
 # The letters and numbers of Latin-1.
 LATIN_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -67,7 +71,6 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.vocab, self.end = vocab, end
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
-        self.names = {i: t for t, i in vocab.items()}
         self.made = {a + b: (a, b, i) for i, (a, b) in enumerate(merges)}
         self.one_way = len(self.made) == len(merges)  # every token has a single last merge
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -141,12 +144,15 @@ class Merges:
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word (symbols, without the word-end mark)."""
         root: dict = {}
+        out: dict[str, list[str]] = {}
         for word in words:
+            if len(word) > LONG:
+                out[word] = self._walk(word)
+                continue
             node = root
             for c in word:
                 node = node.setdefault(c, {})
             node[""] = word
-        out: dict[str, list[str]] = {}
         last: list[str | None] = [None]
         prefix = ""
         todo = [(c, node, 1) for c, node in root.items() if c]
@@ -161,6 +167,15 @@ class Merges:
             todo += [(k, child, depth + 1) for k, child in node.items() if k]
         return out
 
+    def _walk(self, word: str) -> list[str]:
+        """The tokens of one word, looking back no further than the longest token; in time and memory as its length."""
+        last: list[str | None] = [None]
+        for n in range(1, len(word) + 1):
+            at = max(0, n - self.longest - 1)
+            last.append(self._last(word[at:n], last[at:], ""))
+        at = max(0, len(word) - self.longest - 1)
+        return self._back(word, last, self._last(word[at:], last[at:-1], self.end) if self.end else last[-1])
+
     def _back(self, prefix: str, last: list[str | None], final: str | None) -> list[str]:
         if final is None:  # a symbol that the vocabulary lacks
             symbols = self.symbols(prefix + self.end)
@@ -194,17 +209,20 @@ class Vocabulary:
         self.cache = cache or CACHE
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = Merges(model["vocab"], merges, self.end)
+        if engine == "trie":  # the library has its own
+            self.merges = Merges(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], self.end)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.spaced = spec["normalizer"] is None  # white space is kept, case too
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
         self.decoder = spec["decoder"]
-        self.names = self.merges.names | {i: t for t, i in self.added.items()}
         self.ids = _Store(self)
         self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
 
+    @cached_property
+    def names(self) -> dict[int, str]:
+        return {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+
     def words(self, text: str) -> list[str] | None:
         """The words of a text without added tokens; None where only the library can tell."""
         try:
@@ -271,9 +289,10 @@ class Vocabulary:
                 if not isinstance(part, str):
                     words.update(part)
         missing = {w for w in words if w not in ids}
-        if len(ids) + len(missing) > self.cache:
+        if len(ids) + len(missing) > self.cache or ids.chars > WORD * self.cache:
             ids.clear()
-            missing = words
+            ids.chars, missing = 0, words
+        ids.chars += sum(map(len, missing))
         self.learn(missing)
 
     def decode(self, ids: list[int]) -> str:
@@ -290,13 +309,16 @@ class _Store(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.chars = 0  # of all words
 
     def __missing__(self, word: str) -> bytes:
         v = self.vocabulary
         if v.engine != "library":
             raise KeyError(word)
-        if len(self) >= v.cache:
+        if len(self) >= v.cache or self.chars > WORD * v.cache:
             self.clear()
+            self.chars = 0
+        self.chars += len(word)
         name = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(v.table)
         found = self[word] = _pack([t.id for t in v.library.model.tokenize(name)])
         return found
