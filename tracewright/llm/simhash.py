@@ -16,7 +16,8 @@ Only distinct fingerprints go into tables, so copies cost nothing. A bucket of u
 to ``BUCKET`` fingerprints is searched as one; a larger one is dealt into blocks,
 and every two of them are searched as a unit of their own. A unit yields the
 links of a spanning forest, at most one per fingerprint, never all pairs; links
-between texts are kept up to connection.
+between texts are kept up to connection. No rows give no rows; columns other than
+the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -152,11 +153,12 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """id, fp (signed) and component_id of each of docs: the smallest id reachable by links. Null ids rank last."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = settle(spark, rows.mapInArrow(_fingerprints(words), "id long, fp long"), "simhash-fingerprints")
-    nodes = settle(spark, own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    links = settle(spark, link_fingerprints(spark, nodes, radius, bucket).distinct(), "simhash-links")
+    nodes = settle(spark, own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct", own.count())
+    n = nodes.count()
+    links = settle(spark, link_fingerprints(spark, nodes, radius, bucket).distinct(), "simhash-links", (1 << radius + 1) * n)  # a unit has a forest of links at most
     found = connected_components(spark, links)
     named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = settle(spark, named, "simhash-named")
+    named = settle(spark, named, "simhash-named", n)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = settle(spark, named.join(least, "component").select("fp", "component_id"), "simhash-components")
+    by_fp = settle(spark, named.join(least, "component").select("fp", "component_id"), "simhash-components", n)
     return own.join(by_fp, "fp").select("id", "fp", "component_id")
