@@ -48,10 +48,10 @@ SHARP = 4.0
 
 
 class SuffixAutomaton:
-    """All substrings of a text. States with one way on are kept in arrays, only branching ones in dictionaries."""
+    """All substrings of a text. A state is a dictionary from the next character to the next state."""
 
     def __init__(self, text: str):
-        nexts: list[dict[str, int]] = [{}]
+        nexts: list[dict] = [{}]
         link, length, last = array("i", [-1]), array("i", [0]), 0
         for c in text:
             now = len(nexts)
@@ -76,30 +76,28 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
-        self.size = len(text)
-        self.many = [d if len(d) > 1 else None for d in nexts]
-        self.char = "".join([next(iter(d)) if len(d) == 1 else "\0" for d in nexts])
-        self.to = array("i", [next(iter(d.values())) if len(d) == 1 else 0 for d in nexts])
+        for ways in nexts:  # numbers of states become the states
+            for c, to in ways.items():
+                ways[c] = nexts[to]
+        self.size, self.start = len(text), nexts[0]
 
     def phrases(self, text: str) -> int:
         """How many longest matches, one after the other, make up the text."""
-        many, char, to = self.many, self.char, self.to
-        start = many[0] or ({char[0]: to[0]} if to[0] else {})
-        n, state = 0, 0
+        start = state = self.start
+        n = 0
         for c in text:
-            ways = many[state]
-            if ways is not None:
-                then = ways.get(c, 0)
-            else:
-                then = to[state] if char[state] == c else 0
-            if not then:
-                if state:  # the phrase ends here, and the next begins with c
+            then = state.get(c)
+            if then is None:
+                if state is start:  # a character that is nowhere
                     n += 1
-                    then = start.get(c, 0)
-                if not then:
+                    continue
+                n += 1  # the phrase ends here, and the next begins with c
+                then = start.get(c)
+                if then is None:
                     n += 1
+                    then = start
             state = then
-        return n + (state > 0)
+        return n + (state is not start)
 
 
 @dataclass(frozen=True)
@@ -122,7 +120,7 @@ def marked(text: str) -> str:
     return MARK + MARK.join(words) + MARK if words else ""
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 32) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 24) -> Model:
     """A model from rows (id, text, language). At most max_docs rows of each language reach the driver, whole."""
     from pyspark.sql import Window
 
