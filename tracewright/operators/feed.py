@@ -59,6 +59,13 @@ def quality(clicks: DataFrame, min_minority: int = 5) -> DataFrame:
     return g.select("*", active.alias("classifier_active"), (F.col("clicks") / (F.col("clicks") + 5)).alias("blend_weight"), (F.col("real") / (F.col("real") + 5)).alias("real_weight"), caveat.alias("caveat"))
 
 
+def source_skew(clicks: DataFrame, items: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
+    """user_id, largest, positives, skewed: whether so large a share of a user's useful items, of which there are at least so many, is from one feed. Generated verdicts don't count."""
+    own = clicks.filter((F.col("useful") == 1) & (F.col("source") != "bootstrap")).join(items.select("item_id", "feed"), "item_id")
+    per = own.groupBy("user_id", "feed").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("user_id").agg(F.max("n").alias("largest"), F.sum("n").alias("positives")).withColumn("skewed", (F.col("positives") >= least) & (F.col("largest") >= share * F.col("positives")))
+
+
 def round_robin(items: DataFrame, per_feed: int) -> DataFrame:
     """The newest items of every feed."""
     w = Window.partitionBy("feed").orderBy(F.desc("published"), "item_id")

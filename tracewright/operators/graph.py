@@ -91,8 +91,8 @@ def betweenness(e: DataFrame, max_edges: int = 2_000_000) -> DataFrame:
     return parts.groupBy("node").agg((F.sum("part") / 2).alias("score"))
 
 
-def communities(e: DataFrame, passes: int = 20) -> DataFrame:
-    """node, community by modularity: nodes in order of names move to the neighbouring community that gains most, ties to the first name. Sequential by nature, so one task works on the thresholded edge table, whose rows are pairs of tags and not documents."""
+def communities(e: DataFrame, passes: int = 20, max_edges: int = 2_000_000) -> DataFrame:
+    """node, community by modularity: nodes in order of names move to the neighbouring community that gains most, ties to the first name. Sequential by nature, so one task works on the thresholded edge table, whose rows are pairs of tags and not documents; more than max_edges are an error."""
 
     def run(pdf):
         import pandas as pd
@@ -123,4 +123,6 @@ def communities(e: DataFrame, passes: int = 20) -> DataFrame:
                 break
         return pd.DataFrame({"node": list(home), "community": list(home.values())})
 
+    if (n := e.count()) > max_edges:
+        raise ValueError(f"{n} edges are over max_edges={max_edges}: raise the edge threshold, or the bound with the memory of a task")
     return e.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "node string, community string")

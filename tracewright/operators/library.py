@@ -10,7 +10,7 @@ from tracewright.functions import text as X
 
 def normalised(references: DataFrame) -> DataFrame:
     """With doi, arxiv, title_key and identity."""
-    doi, arxiv = X.normalise_doi(F.col("raw_doi")), X.normalise_arxiv(F.col("raw_arxiv"))
+    doi, arxiv = X.normalise_doi(F.col("raw_doi")), F.coalesce(X.normalise_arxiv(F.col("raw_arxiv")), X.arxiv_of_doi(F.col("raw_doi")))
     out = references.select("*", doi.alias("doi"), arxiv.alias("arxiv"), X.normalise_title(F.col("title")).alias("title_key"))
     return out.withColumn("identity", X.identity(F.col("doi"), F.col("arxiv"), F.col("title_key"), F.col("year")))
 
@@ -30,7 +30,7 @@ def merge_fill(refs: DataFrame) -> DataFrame:
 
 def lookup(asked: DataFrame, refs: DataFrame) -> DataFrame:
     """ask_id, ref_id, rung: by DOI, then arXiv id, then title with a year that agrees or is missing on a side; the first rung that hits, present years first, then the least id."""
-    a = asked.select(F.col("ask_id"), *[F.col(c).alias(f"a_{c}") for c in ("doi", "arxiv", "title_key", "year")])
+    a = asked.select(F.col("ask_id"), *[F.col(c).alias(f"a_{c}") for c in ("doi", "arxiv", "year")], F.nullif("title_key", F.lit("")).alias("a_title_key"))  # an empty title matches nothing
     by_doi = a.join(refs, F.col("a_doi") == F.col("doi")).select("ask_id", "ref_id", F.lit(0).alias("rung"), F.lit(0).alias("no_year"))
     by_arxiv = a.join(refs, F.col("a_arxiv") == F.col("arxiv")).select("ask_id", "ref_id", F.lit(1).alias("rung"), F.lit(0).alias("no_year"))
     years = F.col("year").isNull() | F.col("a_year").isNull() | (F.col("year") == F.col("a_year"))

@@ -188,11 +188,10 @@ def seeded_click_detector(spark, sf_dir):
     return g.filter("n >= 2 AND u = n - u").groupBy("user_id").agg(F.count(F.lit(1)).alias("days"))
 
 
-@query(f"""WITH {C}, {I}, g AS (SELECT user_id, feed, count(*) AS n FROM clicks JOIN items USING (item_id) WHERE useful = 1 GROUP BY user_id, feed)
-    SELECT user_id, max(n) AS largest, sum(n) AS positives, sum(n) >= 5 AND max(n) >= 0.2 * sum(n) AS skewed FROM g GROUP BY user_id""")
+@query(f"""WITH {C}, {I}, g AS (SELECT user_id, feed, count(*) AS n FROM clicks JOIN items USING (item_id) WHERE useful = 1 AND clicks.source <> 'bootstrap' GROUP BY user_id, feed)
+    SELECT user_id, max(n) AS largest, sum(n) AS positives, sum(n) >= 5 AND max(n) >= 0.8 * sum(n) AS skewed FROM g GROUP BY user_id""")
 def feed_source_skew(spark, sf_dir):
-    g = P.clicks(spark, sf_dir).filter("useful = 1").join(P.items(spark, sf_dir).select("item_id", "feed"), "item_id").groupBy("user_id", "feed").agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy("user_id").agg(F.max("n").alias("largest"), F.sum("n").alias("positives")).withColumn("skewed", (F.col("positives") >= 5) & (F.col("largest") >= 0.2 * F.col("positives")))
+    return O.source_skew(P.clicks(spark, sf_dir), P.items(spark, sf_dir))
 
 
 @query(f"WITH {VEC}, {KNN} SELECT * FROM sims ORDER BY similarity DESC, item_id LIMIT 10")

@@ -290,10 +290,9 @@ def lineage_closure(spark, sf_dir):
     w AS (WITH RECURSIVE r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT child, depth + 1 FROM r JOIN t ON parent = node) SELECT * FROM r) SELECT node, depth FROM w""")
 def include_tree(spark, sf_dir):
     """Everything below a root, level by level, by a recursive query."""
-    P.table(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("_include_nodes")
-    return spark.sql("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, explode(array(p_partkey * 2 + 1, p_partkey * 2 + 2)) AS child FROM _include_nodes),
-        t AS (SELECT e.parent, e.child FROM e JOIN _include_nodes n ON e.child = n.p_partkey),
-        r(node, depth) MAX RECURSION LEVEL 64 AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT t.child, r.depth + 1 FROM r JOIN t ON t.parent = r.node) SELECT node, depth FROM r""")
+    return spark.sql("""WITH RECURSIVE e AS (SELECT p_partkey AS parent, explode(array(p_partkey * 2 + 1, p_partkey * 2 + 2)) AS child FROM {nodes}),
+        t AS (SELECT e.parent, e.child FROM e JOIN {nodes} n ON e.child = n.p_partkey),
+        r(node, depth) MAX RECURSION LEVEL 64 AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT t.child, r.depth + 1 FROM r JOIN t ON t.parent = r.node) SELECT node, depth FROM r""", nodes=P.table(spark, sf_dir, "part").select("p_partkey"))
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS whole, sha256(substring(text, 1, 60)) AS head FROM documents), b AS (SELECT whole, min(doc_id) AS id FROM d WHERE doc_id % 3 = 0 GROUP BY whole), h AS (SELECT head, min(doc_id) AS id FROM d WHERE doc_id % 3 = 0 GROUP BY head)
