@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions import text as X
 
@@ -66,3 +68,74 @@ def weekly_counts(events: DataFrame, time: str = "ts") -> DataFrame:
     w = events.groupBy(F.to_date(F.date_trunc("week", time)).alias("week")).agg(F.count(F.lit(1)).alias("n")).filter("week IS NOT NULL")
     s = w.agg(F.min("week").alias("a"), F.max("week").alias("z")).select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 7 DAYS"))).alias("week"))
     return s.join(w, "week", "left").select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def neighbours_in_order(neighbours: DataFrame) -> DataFrame:
+    """Those in the library first, then stubs with an id before stubs with a title alone, then by title."""
+    return neighbours.orderBy(~F.col("in_library"), F.col("identity").startswith("title:"), F.lower(F.coalesce("title", F.lit(""))), "identity")
+
+
+def resolve(asked: DataFrame, refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """ask_id, ref_id, rung of asked (ask_id, key, doi, arxiv, title_key, year) in refs (ref_id, identity, bib_key, doi, arxiv, title_key, year): by identity, bibliography key, alias (alias, ref_id), DOI, arXiv id, then title; the first rung that hits, then the least id."""
+    by = lambda side, column, rung: asked.join(side, asked["key"] == side[column]).select("ask_id", side["ref_id"], F.lit(rung).alias("rung"))
+    exact = by(refs, "identity", 0).unionByName(by(refs, "bib_key", 1)).unionByName(by(aliases, "alias", 2))
+    rest = lookup(asked, refs).filter("rung IS NOT NULL").select("ask_id", "ref_id", (F.col("rung") + 3).alias("rung"))
+    best = exact.unionByName(rest).groupBy("ask_id").agg(F.min(F.struct("rung", "ref_id")).alias("b"))
+    return asked.select("ask_id").join(best, "ask_id", "left").select("ask_id", "b.ref_id", "b.rung")
+
+
+def merge_conflicts(refs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """identity, field, kept, offered: values that differ from the first one by ref_id, each once. Empty values offer nothing."""
+    filled = F.array(*[F.struct(F.lit(c).alias("field"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")) for c in fields])
+    rows = refs.select("identity", "ref_id", F.explode(filled).alias("f")).select("identity", "ref_id", "f.*").filter("value IS NOT NULL")
+    values = rows.groupBy("identity", "field", "value").agg(F.min("ref_id").alias("ref_id"))
+    kept = values.groupBy("identity", "field").agg(F.min_by("value", "ref_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return values.join(kept, ["identity", "field"]).filter("value <> kept").select("identity", "field", "kept", F.col("value").alias("offered"))
+
+
+def sync(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(library, report) after readers' entries (reader, title, year, lang, raw_doi, raw_arxiv): entries join the row of their identity and fill what it lacks, or begin a row. The report counts per reader: seen, added and merged entries and those without an identity, which go."""
+    new = normalised(incoming).withColumn("known", F.lit(False))
+    old = stored.select("identity").distinct().withColumn("stored", F.lit(True))
+    marked = new.join(old, "identity", "left")
+    first = marked.filter("stored IS NULL AND identity IS NOT NULL").groupBy("identity").agg(F.min(F.struct("reader", "ref_id")).alias("f"))
+    told = marked.join(first, "identity", "left").withColumn("adds", F.coalesce(F.struct("reader", "ref_id") == F.col("f"), F.lit(False)))
+    report = told.groupBy("reader").agg(F.count(F.lit(1)).alias("seen"), F.count_if("adds").alias("added"), F.count_if(~F.col("adds") & F.col("identity").isNotNull()).alias("merged"), F.count_if(F.col("identity").isNull()).alias("refused"))
+    columns = ["identity", "ref_id", "title", "year", "lang"]
+    both = stored.select(*columns).unionByName(new.filter("identity IS NOT NULL").select(*columns))
+    return merge_fill(both), report
+
+
+def edit_log(edits: DataFrame) -> DataFrame:
+    """Versions of fields from edits (ref_id, field, value, at): each value with the time it held from and to (null for the present one); an edit to the value that holds changes nothing."""
+    w = Window.partitionBy("ref_id", "field").orderBy("at", "value")
+    changed = edits.withColumn("was", F.lag(F.struct("value")).over(w)).filter(F.col("was").isNull() | ~F.col("was.value").eqNullSafe(F.col("value")))
+    return changed.select("ref_id", "field", "value", F.col("at").alias("from_at"), F.lead("at").over(w).alias("to_at"))
+
+
+def pivoted(items: DataFrame, data: DataFrame, fields: DataFrame, values: DataFrame, deleted: DataFrame, wanted: list[str]) -> DataFrame:
+    """key and one column for each wanted field, from a reference manager's tables of entities, attributes and values; deleted items go."""
+    rows = items.join(deleted, "itemID", "left_anti").join(data, "itemID").join(F.broadcast(fields.filter(F.col("fieldName").isin(wanted))), "fieldID").join(values, "valueID")
+    per = rows.groupBy("key").pivot("fieldName", wanted).agg(F.min("value"))
+    return items.join(deleted, "itemID", "left_anti").select("key").join(per, "key", "left")
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    import difflib
+
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def close_titles(asked: DataFrame, hits: DataFrame, least: float = 0.9) -> DataFrame:
+    """ask_id, ref_id, ratio: of each search's hits (ask_id, ref_id, title_key) the one whose title is most like the asked title_key (twice the matching characters over both lengths), at a ratio of least or more; ties to the least id. Empty titles are like nothing."""
+    both = asked.select("ask_id", F.col("title_key").alias("asked_key")).join(hits.select("ask_id", "ref_id", "title_key"), "ask_id").filter("asked_key <> '' AND title_key <> ''")
+    close = both.withColumn("ratio", _ratio("asked_key", "title_key")).filter(F.col("ratio") >= least)
+    best = close.groupBy("ask_id").agg(F.max(F.struct("ratio", (-F.col("ref_id")).alias("less"))).alias("b"))
+    return best.select("ask_id", (-F.col("b.less")).alias("ref_id"), "b.ratio")
+
+
+def tagged_papers(item_tags: DataFrame, reference_tags: DataFrame, from_feed: DataFrame) -> DataFrame:
+    """pid, tag, each once: items (pid, tag) by their own number; references (ref_id, tag) by the item that from_feed (ref_id, item_id) has for them, or else by their negative number."""
+    own = reference_tags.join(from_feed, "ref_id", "left").select(F.coalesce("item_id", -F.col("ref_id")).alias("pid"), "tag")
+    return item_tags.select("pid", "tag").unionByName(own).distinct()
