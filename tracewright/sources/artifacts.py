@@ -1,4 +1,4 @@
-"""Readers of run artifacts: JSON, JSON lines, CSV, MLflow file stores, multirun folders, job states, manifests and BibTeX.
+"""Readers of run artifacts: JSON, JSON lines, CSV, MLflow file stores, multirun folders, manifests and BibTeX.
 
 All go through Spark's readers, so any store that Spark opens will do. Each yields rows of (path, metric, step, split,
 value) or says so; what doesn't parse is kept as a row of its own with the reason, not dropped silently.
