@@ -6,9 +6,10 @@ cut a text into words; the merges are ours:
 * Every prefix of a word has exactly one last token in its encoding. A token t
   that ends at place i is that token if the last token before t may stand left
   of t, that is, if the two alone encode to themselves.
-* The distinct words of a batch go into a trie. A depth-first walk carries the
-  last tokens of the prefix down, so a prefix that many words share is encoded
-  once; at a word's end the encoding is read backwards off those last tokens.
+* The distinct words of a batch go into a trie, held as its words in order. A
+  depth-first walk carries the last tokens of the prefix down, so a prefix that
+  many words share is encoded once; at a word's end the encoding is read backwards
+  off those last tokens.
 * Where a vocabulary marks word ends, the last symbol of a word differs from the
   same symbol inside; the walk tries it as a separate step that nothing shares.
 
@@ -29,7 +30,7 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import pyarrow as pa
@@ -42,6 +43,7 @@ CACHE = 600_000
 PIECE = 1 << 19
 WORD = 24  # a word's characters on average, at most, for the store to hold CACHE words
 LONG = 256  # words of more symbols share no prefixes
+TAIL = 3  # so many last symbols tell how long a token can be
 
 # The letters and numbers of Latin-1.
 LATIN_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -69,13 +71,20 @@ class Merges:
     """The merge rules alone, on words as strings of symbols."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
-        self.vocab, self.end = vocab, end
+        self.end = end
+        self.known: dict[str, bool | None] = dict.fromkeys(vocab)  # whether a token is whole; None until asked
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.made = {a + b: (a, b, i) for i, (a, b) in enumerate(merges)}
         self.one_way = len(self.made) == len(merges)  # every token has a single last merge
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.longest = max(map(len, vocab))
+        #: The most symbols of a token by its last TAIL ones, for tokens with the word-end mark and for others.
+        self.reach: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        for token in vocab:
+            marked = bool(end) and token.endswith(end) and len(token) > len(end)
+            own, reach = (token[: -len(end)], self.ends) if marked else (token, self.reach)
+            if len(own) > TAIL and len(own) > reach.get(own[-TAIL:], 0):
+                reach[own[-TAIL:]] = len(own)
 
     def plain(self, symbols: list[str]) -> list[str]:
         """Merge by merge, lowest rank first, leftmost first."""
@@ -95,10 +104,9 @@ class Merges:
 
     def whole(self, token: str) -> bool:
         """Whether a token's own symbols merge into it; one that they don't reach is in no encoding."""
-        found = self.alone.get(token)
-        if found is None:
-            found = self.alone[token] = token in self.vocab and self.plain(self.symbols(token)) == [token]
-        return found
+        if self.known.get(token, False) is None:
+            self.known[token] = self.plain(self.symbols(token)) == [token]
+        return self.known.get(token, False)
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether a and b, side by side, stay two tokens."""
@@ -124,14 +132,16 @@ class Merges:
             else:
                 b, due = y[0], y[2] + 1
 
-    def _last(self, prefix: str, last: list[str | None], ending: str) -> str | None:
-        """The last token of the prefix (with the word-end mark, if ending); last[i]: that of its first i symbols."""
-        n = len(prefix)
-        vocab, alone, pairs = self.vocab, self.alone, self.pairs
-        whole_word = prefix + ending
-        for at in range(max(0, n - self.longest), n):
-            token = whole_word[at:]
-            if token in vocab and (alone.get(token) or self.whole(token)):
+    def _last(self, word: str, n: int, last: list[str | None], ending: str) -> str | None:
+        """The last token of the word's first n symbols (with the word-end mark, if ending); last[i]: that of its first i symbols."""
+        known, pairs = self.known, self.pairs
+        reach = (self.ends if ending else self.reach).get(word[max(0, n - TAIL) : n], TAIL)
+        for at in range(n - reach if n > reach else 0, n):
+            token = word[at:n] + ending
+            whole = known.get(token, False)
+            if whole is None:
+                whole = self.whole(token)
+            if whole:
                 if not at:
                     return token
                 before = last[at]
@@ -141,53 +151,45 @@ class Merges:
                         return token
         return None
 
-    def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word (symbols, without the word-end mark)."""
-        root: dict = {}
-        out: dict[str, list[str]] = {}
-        for word in words:
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each distinct word (symbols, without the word-end mark) and its tokens.
+
+        The trie is its words in order: the path of a word leaves that of the word before where the two differ, and
+        to go through them in order is to walk the trie depth first. last holds the states of the present path; those
+        of the prefix that two words share stay, so that each prefix gets its state once.
+        """
+        last: list[str | None] = [None]
+        above = ""
+        for word in sorted(words):
             if len(word) > LONG:
-                out[word] = self._walk(word)
+                yield word, self._walk(word)
                 continue
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
-        last: list[str | None] = [None]
-        prefix = ""
-        todo = [(c, node, 1) for c, node in root.items() if c]
-        while todo:
-            c, node, depth = todo.pop()
-            prefix = prefix[: depth - 1] + c
-            del last[depth:]
-            last.append(self._last(prefix, last, ""))
-            if "" in node:
-                final = self._last(prefix, last, self.end) if self.end else last[depth]
-                out[node[""]] = self._back(prefix, last, final)
-            todo += [(k, child, depth + 1) for k, child in node.items() if k]
-        return out
+            shared, most = 0, min(len(word), len(above), len(last) - 1)
+            while shared < most and word[shared] == above[shared]:
+                shared += 1
+            del last[shared + 1 :]
+            # before a word-end mark the word's last symbol is another one, so that the whole word has a state only as the prefix of another
+            for n in range(shared + 1, len(word) + (not self.end)):
+                last.append(self._last(word, n, last, ""))
+            yield word, self._back(word, last, self._last(word, len(word), last, self.end) if self.end else last[-1])
+            above = word
 
     def _walk(self, word: str) -> list[str]:
-        """The tokens of one word, looking back no further than the longest token; in time and memory as its length."""
+        """The tokens of one word without a trie; in time and memory as its length."""
         last: list[str | None] = [None]
-        for n in range(1, len(word) + 1):
-            at = max(0, n - self.longest - 1)
-            last.append(self._last(word[at:n], last[at:], ""))
-        at = max(0, len(word) - self.longest - 1)
-        return self._back(word, last, self._last(word[at:], last[at:-1], self.end) if self.end else last[-1])
-
-    def _back(self, prefix: str, last: list[str | None], final: str | None) -> list[str]:
-        if final is None:  # a symbol that the vocabulary lacks
-            symbols = self.symbols(prefix + self.end)
-            return [t for t in self.plain(symbols) if t in self.vocab]
-        tokens, at = [final], len(prefix) - len(self.symbols(final))
-        while at > 0:
-            token = last[at]
-            if token is None:
-                return [t for t in self.plain(self.symbols(prefix + self.end)) if t in self.vocab]
+        for n in range(1, len(word) + (not self.end)):
+            last.append(self._last(word, n, last, ""))
+        return self._back(word, last, self._last(word, len(word), last, self.end) if self.end else last[-1])
+
+    def _back(self, word: str, last: list[str | None], final: str | None) -> list[str]:
+        tokens, at, token = [], len(word) + len(self.end), final
+        while token is not None:
             tokens.append(token)
             at -= len(token)
-        return tokens[::-1]
+            if not at:
+                return tokens[::-1]
+            token = last[at]
+        return [t for t in self.plain(self.symbols(word + self.end)) if t in self.known]  # a symbol that the vocabulary lacks
 
 
 class Vocabulary:
@@ -211,6 +213,7 @@ class Vocabulary:
         self.end = model.get("end_of_word_suffix") or ""
         if engine == "trie":  # the library has its own
             self.merges = Merges(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], self.end)
+            self.code = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.spaced = spec["normalizer"] is None  # white space is kept, case too
@@ -236,11 +239,14 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't stored by one walk over their trie."""
-        vocab = self.merges.vocab
-        names = {word: word.encode().decode("latin-1").translate(self.table) for word in words}
-        found = self.merges.encode_words(list(names.values()))
-        for word, name in names.items():
-            self.ids[word] = _pack([vocab[t] for t in found[name]])
+        names = {self._name(word): word for word in words}
+        code = self.code
+        for name, tokens in self.merges.encode_words(names):
+            self.ids[names[name]] = b"".join([code[t] for t in tokens])
+
+    def _name(self, word: str) -> str:
+        """A word in the symbols that stand for its bytes."""
+        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.table)
 
     def _parts(self, text: str):
         """Lists of words, and added tokens as strings, in order."""
@@ -319,8 +325,7 @@ class _Store(dict):
             self.clear()
             self.chars = 0
         self.chars += len(word)
-        name = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(v.table)
-        found = self[word] = _pack([t.id for t in v.library.model.tokenize(name)])
+        found = self[word] = _pack([t.id for t in v.library.model.tokenize(v._name(word))])
         return found
 
 
