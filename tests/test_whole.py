@@ -20,7 +20,7 @@ def test_weeks_count_all_events_and_fill_gaps(spark, tmp_path):
     times = [("2024-01-01 00:00:00", 2, "view"), ("2024-01-07 23:00:00", 1, "signup"), ("2024-01-24 10:00:00", 5, "error"), (None, 1, "signup")]
     path = write(spark, tmp_path, raw=(times, "t string, user_id long, event_type string"))
     spark.read.parquet(f"{path}/raw.parquet").withColumn("ts", F.col("t").cast("timestamp_ntz")).write.parquet(f"{path}/events.parquet")
-    got = sorted(tuple(r) for r in QUERIES["weekly_ingest_all"](spark, path).collect())
+    got = sorted(tuple(r) for r in QUERIES["weekly_ingest_zero_filled"](spark, path).collect())
     assert got == [("2024-01-01", 2), ("2024-01-08", 0), ("2024-01-15", 0), ("2024-01-22", 1)]
 
 
@@ -37,13 +37,13 @@ def test_tags_and_venues_of_whole_texts(spark, tmp_path):
     long = "a " * 40 + "Hidden Journal of the later words"
     rows = [(i, long if i < 4 else t, "en", "s", 0) for i, t in enumerate([None] * 4 + ["hidden hidden", "", None])]
     path = write(spark, tmp_path, documents=(rows, DOCS))
-    got = {r.item_id: (r.label, r.overlap) for r in QUERIES["feed_digest_clusters_whole"](spark, path).collect()}
+    got = {r.item_id: (r.label, r.overlap) for r in QUERIES["feed_digest_clusters"](spark, path).collect()}
     assert got == {0: ("en", 4), 1: ("en", 4), 2: ("en", 4), 3: ("en", 4), 4: ("en", 1)}
-    sizes = {r.label: r.n for r in QUERIES["feed_digest_budget_whole"](spark, path).collect()}
+    sizes = {r.label: r.n for r in QUERIES["feed_digest_budget"](spark, path).collect()}
     assert sizes == {"hidden": 5, "journal": 4, "later": 4, "words": 4}
-    tags = {r.tag for r in QUERIES["tag_canonical_whole"](spark, path).collect()}
+    tags = {r.tag for r in QUERIES["tag_canonical"](spark, path).collect()}
     assert tags == set(sizes)
-    keys = {r.doc_id: r.venue_key for r in QUERIES["venue_keys_whole"](spark, path).collect()}
+    keys = {r.doc_id: r.venue_key for r in QUERIES["venue_keys"](spark, path).collect()}
     assert keys[0].endswith("hidden journal of the later words") and keys[5] == keys[6] == ""
 
 
@@ -61,7 +61,7 @@ def test_searches_take_every_hundredth_row(spark, tmp_path):
         rows = sorted(df.collect(), key=lambda r: (r.query_id, -r.similarity, r.item_id))
         return {(r.query_id, r.item_id, k % 10) for k, r in enumerate(rows)}
 
-    assert ranked(QUERIES["knn_topk_all"](spark, path)) == want and len(want) == 50
+    assert ranked(QUERIES["knn_topk"](spark, path)) == want and len(want) == 50
     vectors = spark.read.parquet(f"{path}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
     queries = vectors.filter("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
     assert ranked(feed.nearest_each(vectors, queries, 10, rows=60, block=2)) == want

@@ -25,13 +25,8 @@ def text_entities(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", F.explode(D.entities(F.col("text"))).alias("name"))
 
 
-@query("SELECT doc_id, regexp_replace(trim(regexp_replace(lower(coalesce(substring(text, 1, 40), '')), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS venue_key FROM documents")
-def venue_keys(spark, sf_dir):
-    return P.table(spark, sf_dir, "documents").select("doc_id", D.venue_key(F.substring("text", 1, 40)).alias("venue_key"))
-
-
 @query("SELECT doc_id, regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS venue_key FROM documents")
-def venue_keys_whole(spark, sf_dir):
+def venue_keys(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", D.venue_key(F.col("text")).alias("venue_key"))
 
 
@@ -41,9 +36,7 @@ def text_measured_numbers(spark, sf_dir):
 
 
 # ---- tags ----
-TAGS = "tags AS (SELECT DISTINCT item_id, tag FROM (SELECT doc_id AS item_id, unnest(string_split(lower(substring(text, 1, 60)), ' ')) AS tag FROM documents) WHERE length(tag) >= 5)"
-#: The same from whole texts.
-WHOLE_TAGS = TAGS.replace("substring(text, 1, 60)", "text")
+TAGS = "tags AS (SELECT DISTINCT item_id, tag FROM (SELECT doc_id AS item_id, unnest(string_split(lower(text), ' ')) AS tag FROM documents) WHERE length(tag) >= 5)"
 SINGULAR = "CASE WHEN length({f}) >= 4 AND {f} LIKE '%s' AND " + " AND ".join(f"{{f}} NOT LIKE '%{e}'" for e in D.NO_PLURAL) + " THEN {f}[:-2] ELSE {f} END"
 FOLD = SINGULAR.format(f="regexp_replace({t}, '[-_]', '', 'g')")
 ALIASES = "aliases AS (SELECT tag AS alias, max(other) AS target FROM (SELECT a.tag, b.tag AS other FROM (SELECT DISTINCT tag FROM tags) a JOIN (SELECT DISTINCT tag FROM tags) b ON a.tag[:4] = b.tag[:4]) GROUP BY tag HAVING count(*) BETWEEN 2 AND 3)"
@@ -65,11 +58,6 @@ def tag_canonical(spark, sf_dir):
     return _canonical(_tags(spark, sf_dir).select("item_id", "tag"))
 
 
-@query(f"WITH {WHOLE_TAGS}, {CANONICAL}")
-def tag_canonical_whole(spark, sf_dir):
-    return _canonical(_tags(spark, sf_dir, whole=True).select("item_id", "tag"))
-
-
 SUGGESTED = """liked AS (SELECT DISTINCT user_id, tag FROM clicks JOIN tags USING (item_id) WHERE useful = 1),
     held AS (SELECT DISTINCT documents.source, tag FROM tags JOIN documents ON item_id = doc_id), has AS (SELECT DISTINCT user_id, documents.source FROM clicks JOIN documents ON item_id = doc_id),
     scored AS (SELECT user_id, source, count(*) AS score FROM liked JOIN held USING (tag) ANTI JOIN has USING (user_id, source) GROUP BY user_id, source)
@@ -86,11 +74,6 @@ def feed_suggest_sources(spark, sf_dir):
     return _suggested(spark, sf_dir, _tags(spark, sf_dir))
 
 
-@query(f"WITH clicks AS ({P.CLICKS_SQL}), {WHOLE_TAGS}, {SUGGESTED}")
-def feed_suggest_sources_whole(spark, sf_dir):
-    return _suggested(spark, sf_dir, _tags(spark, sf_dir, whole=True))
-
-
 # ---- bibliographies ----
 ESCAPE = "{v}"
 for _raw, _safe in D.ESCAPED.items():

@@ -15,7 +15,6 @@ KEYS = "keys AS (SELECT item_id, 'feed:' || feed AS key FROM items UNION ALL SEL
 STATS = "stats AS (SELECT user_id, key, sum(useful) AS useful, sum(1 - useful) AS other FROM clicks JOIN keys USING (item_id) GROUP BY user_id, key)"
 VEC = "vec AS (SELECT vec_id AS item_id, embedding FROM embeddings)"
 DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-KNN = f"q AS (SELECT embedding AS qv FROM vec WHERE item_id = 0), sims AS (SELECT item_id, round({DOT.format(a='embedding', b='qv')}, 6) AS similarity FROM vec, q)"
 
 
 def _keys(spark, sf_dir):
@@ -27,10 +26,6 @@ def _vectors(spark, sf_dir):
     return P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
 
 
-def _query(spark, sf_dir):
-    return list(_vectors(spark, sf_dir).filter("item_id = 0").first()["embedding"])
-
-
 @query(f"WITH {C}, {I} SELECT item_id, feed FROM items WHERE published >= DATE '2024-06-01' AND item_id NOT IN (SELECT item_id FROM clicks WHERE user_id = 1)")
 def feed_candidates(spark, sf_dir):
     return O.candidates(P.items(spark, sf_dir), P.clicks(spark, sf_dir).filter("user_id = 1").select("item_id"), F.lit("2024-06-01").cast("date")).select("item_id", "feed")
@@ -112,22 +107,17 @@ def feed_literal_candidates(spark, sf_dir):
     return O.literal(P.items(spark, sf_dir), "the", 50)
 
 
-TAGS = """tags AS (SELECT DISTINCT doc_id AS item_id, unnest(string_split(lower(substring(text, 1, 60)), ' ')) AS tag FROM documents),
+TAGS = """tags AS (SELECT DISTINCT doc_id AS item_id, unnest(string_split(lower(text), ' ')) AS tag FROM documents),
     tagged AS (SELECT * FROM tags WHERE length(tag) >= 5), uses AS (SELECT lang AS label, tag, count(*) AS n FROM tagged JOIN documents ON doc_id = item_id GROUP BY lang, tag),
     members AS (SELECT label, tag FROM uses WHERE n >= 3),
     overlap AS (SELECT item_id, label, count(*) AS overlap FROM tagged JOIN members USING (tag) GROUP BY item_id, label),
     best AS (SELECT item_id, label, overlap FROM overlap QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, label) = 1)"""
 
 
-#: The same from whole texts.
-WHOLE_TAGS = TAGS.replace("substring(text, 1, 60)", "text")
-
-
-def _tags(spark, sf_dir, whole=False):
-    """Words of a text's first 60 characters, as TAGS has them, or of all of it."""
-    title = F.lower(F.col("text") if whole else F.substring("text", 1, 60))
+def _tags(spark, sf_dir):
+    """The distinct words of five or more characters of whole texts."""
     d = P.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("item_id"), "lang", F.explode(F.array_distinct(F.split(title, " "))).alias("tag")).filter(F.length("tag") >= 5)
+    return d.select(F.col("doc_id").alias("item_id"), "lang", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("tag")).filter(F.length("tag") >= 5)
 
 
 def _clusters(tags):
@@ -140,11 +130,6 @@ def feed_digest_clusters(spark, sf_dir):
     return _clusters(_tags(spark, sf_dir))
 
 
-@query(f"WITH {WHOLE_TAGS} SELECT t.item_id, label, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT item_id FROM tagged) t LEFT JOIN best USING (item_id)")
-def feed_digest_clusters_whole(spark, sf_dir):
-    return _clusters(_tags(spark, sf_dir, whole=True))
-
-
 BUDGET = """sizes AS (SELECT tag AS label, count(*) AS n FROM tagged GROUP BY tag),
     s AS (SELECT label, n, least(n, 3, 16 - coalesce(sum(least(n, 3)) OVER (ORDER BY n DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS shown FROM sizes)
     SELECT label, n, CAST(shown AS BIGINT) AS shown FROM s WHERE shown > 0"""
@@ -159,11 +144,6 @@ def feed_digest_budget(spark, sf_dir):
     return _budget(_tags(spark, sf_dir))
 
 
-@query(f"WITH {WHOLE_TAGS}, {BUDGET}")
-def feed_digest_budget_whole(spark, sf_dir):
-    return _budget(_tags(spark, sf_dir, whole=True))
-
-
 @query(f"""WITH {C} SELECT c_custkey AS user_id, count(user_id) AS total, count(*) FILTER (WHERE useful = 1) AS positives,
     count(DISTINCT useful) > 1 AS trainable FROM customer LEFT JOIN clicks ON user_id = c_custkey GROUP BY c_custkey""")
 def persona_survey(spark, sf_dir):
@@ -194,34 +174,6 @@ def feed_source_skew(spark, sf_dir):
     return O.source_skew(P.clicks(spark, sf_dir), P.items(spark, sf_dir))
 
 
-@query(f"WITH {VEC}, {KNN} SELECT * FROM sims ORDER BY similarity DESC, item_id LIMIT 10")
-def knn_topk(spark, sf_dir):
-    return O.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), 10)
-
-
-@query(f"WITH {VEC}, {KNN} SELECT s.* FROM sims s JOIN embeddings e ON e.vec_id = s.item_id WHERE label = 1 ORDER BY similarity DESC, item_id LIMIT 10")
-def knn_prefiltered(spark, sf_dir):
-    own = P.table(spark, sf_dir, "embeddings").filter("label = 1").select(F.col("vec_id").alias("item_id"), "embedding")
-    return O.nearest(own, _query(spark, sf_dir), 10)
-
-
-@query(f"WITH {VEC}, {KNN}, top AS (SELECT * FROM sims ORDER BY similarity DESC, item_id LIMIT 50), b AS (SELECT avg(similarity) AS best FROM (SELECT similarity FROM top ORDER BY similarity DESC LIMIT 3)) SELECT item_id, similarity FROM top, b WHERE similarity >= best * 0.9")
-def relevance_floor(spark, sf_dir):
-    return O.relevance_floor(O.nearest(_vectors(spark, sf_dir), _query(spark, sf_dir), 50))
-
-
-@query(f"""WITH {C}, {I}, {VEC}, {KNN}, {PROFILE}, hits AS (SELECT * FROM sims ORDER BY similarity DESC, item_id LIMIT 50),
-    r AS (SELECT i.item_id, contains(lower(title), 'reth') AS t, contains(lower(title), 'reth') OR contains(lower(summary), 'reth') AS b, similarity, profile_similarity
-        FROM items i LEFT JOIN hits USING (item_id) LEFT JOIN psim USING (item_id))
-    SELECT item_id, round(0.75 * least(coalesce(similarity, 0) + CASE WHEN t THEN 0.35 WHEN b THEN 0.15 ELSE 0 END, 1) + 0.25 * greatest(0, coalesce(profile_similarity, 0)), 6) AS score,
-    CASE WHEN b AND similarity IS NOT NULL THEN 'both' WHEN b THEN 'literal' ELSE 'semantic' END AS how FROM r WHERE b OR similarity IS NOT NULL""")
-def search_blend(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    liked = F.array(*[F.lit(x) for x in O.profile(vectors, P.clicks(spark, sf_dir).filter("user_id = 1"))])
-    own = vectors.select("item_id", F.round(dot(F.col("embedding"), liked), 9).alias("profile_similarity"))
-    return O.search(P.items(spark, sf_dir), O.nearest(vectors, _query(spark, sf_dir), 50), own, "reth").withColumn("score", F.round("score", 6))
-
-
 @query("""WITH s AS (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 16) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM s)
     SELECT vec_id, round(v[1] / norm, 6) AS first, round(v[16] / norm, 6) AS last, len(v) AS dims FROM n""")
 def truncate_and_normalise(spark, sf_dir):
@@ -229,18 +181,8 @@ def truncate_and_normalise(spark, sf_dir):
     return P.table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[15], 6).alias("last"), F.size("v").cast("long").alias("dims"))
 
 
-@query(f"""WITH {VEC}, {KNN}, {I}, w AS (SELECT item_id, len(list_intersect(string_split(lower(title), ' '), ['the', 'of', 'and'])) AS hits FROM items)
-    SELECT item_id, round(similarity + 0.02 * hits, 6) AS score FROM sims JOIN w USING (item_id) ORDER BY score DESC, item_id LIMIT 20""")
-def library_literal_boost(spark, sf_dir):
-    q = F.array(*[F.lit(float(x)) for x in _query(spark, sf_dir)])
-    words = F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(F.lit("the"), F.lit("of"), F.lit("and"))))
-    rows = P.items(spark, sf_dir).select("item_id", words.alias("hits")).join(_vectors(spark, sf_dir), "item_id")
-    score = F.round(F.round(dot(F.col("embedding"), q), 6) + O.WORD_BOOST * F.col("hits"), 6)
-    return rows.select("item_id", score.alias("score")).orderBy(F.desc("score"), "item_id").limit(20)
-
-
 # ---- searches for every hundredth row --------------------------------------
-KNN_ALL = f"q AS (SELECT item_id AS query_id, embedding AS qv FROM vec WHERE item_id % 100 = 0), sims AS (SELECT query_id, item_id, round({DOT.format(a='embedding', b='qv')}, 6) AS similarity FROM vec, q)"
+KNN = f"q AS (SELECT item_id AS query_id, embedding AS qv FROM vec WHERE item_id % 100 = 0), sims AS (SELECT query_id, item_id, round({DOT.format(a='embedding', b='qv')}, 6) AS similarity FROM vec, q)"
 BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= {k}"
 
 
@@ -253,39 +195,39 @@ def _scaled_round(c):
     return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
 
 
-@query(f"WITH {VEC}, {KNN_ALL} SELECT * FROM sims {BEST.format(k=10)}")
-def knn_topk_all(spark, sf_dir):
+@query(f"WITH {VEC}, {KNN} SELECT * FROM sims {BEST.format(k=10)}")
+def knn_topk(spark, sf_dir):
     return O.nearest_each(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10)
 
 
-@query(f"WITH {VEC}, {KNN_ALL} SELECT s.* FROM sims s JOIN embeddings e ON e.vec_id = s.item_id WHERE label = 1 {BEST.format(k=10)}")
-def knn_prefiltered_all(spark, sf_dir):
+@query(f"WITH {VEC}, {KNN} SELECT s.* FROM sims s JOIN embeddings e ON e.vec_id = s.item_id WHERE label = 1 {BEST.format(k=10)}")
+def knn_prefiltered(spark, sf_dir):
     own = P.table(spark, sf_dir, "embeddings").filter("label = 1").select(F.col("vec_id").alias("item_id"), "embedding")
     return O.nearest_each(own, _queries(spark, sf_dir), 10)
 
 
-@query(f"""WITH {VEC}, {KNN_ALL}, top AS (SELECT * FROM sims {BEST.format(k=50)}), b AS (SELECT query_id, avg(similarity) AS best FROM (SELECT * FROM top {BEST.format(k=3)}) GROUP BY query_id)
+@query(f"""WITH {VEC}, {KNN}, top AS (SELECT * FROM sims {BEST.format(k=50)}), b AS (SELECT query_id, avg(similarity) AS best FROM (SELECT * FROM top {BEST.format(k=3)}) GROUP BY query_id)
     SELECT query_id, item_id, similarity FROM top JOIN b USING (query_id) WHERE similarity >= best * 0.9""")
-def relevance_floor_all(spark, sf_dir):
+def relevance_floor(spark, sf_dir):
     return O.relevance_floor_each(O.nearest_each(_vectors(spark, sf_dir), _queries(spark, sf_dir), 50))
 
 
-@query(f"""WITH {C}, {I}, {VEC}, {KNN_ALL}, {PROFILE}, hits AS (SELECT * FROM sims {BEST.format(k=50)}),
+@query(f"""WITH {C}, {I}, {VEC}, {KNN}, {PROFILE}, hits AS (SELECT * FROM sims {BEST.format(k=50)}),
     r AS (SELECT q.query_id, i.item_id, contains(lower(title), 'reth') AS t, contains(lower(title), 'reth') OR contains(lower(summary), 'reth') AS b, similarity, profile_similarity
         FROM items i CROSS JOIN q LEFT JOIN hits h ON h.query_id = q.query_id AND h.item_id = i.item_id LEFT JOIN psim p ON p.item_id = i.item_id)
     SELECT query_id, item_id, round(0.75 * least(coalesce(similarity, 0) + CASE WHEN t THEN 0.35 WHEN b THEN 0.15 ELSE 0 END, 1) + 0.25 * greatest(0, coalesce(profile_similarity, 0)), 6) AS score,
     CASE WHEN b AND similarity IS NOT NULL THEN 'both' WHEN b THEN 'literal' ELSE 'semantic' END AS how FROM r WHERE b OR similarity IS NOT NULL""")
-def search_blend_all(spark, sf_dir):
+def search_blend(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir), _queries(spark, sf_dir)
     liked = F.array(*[F.lit(x) for x in O.profile(vectors, P.clicks(spark, sf_dir).filter("user_id = 1"))])
     own = vectors.select("item_id", F.round(dot(F.col("embedding"), liked), 9).alias("profile_similarity"))
     return O.search_each(P.items(spark, sf_dir), O.nearest_each(vectors, queries, 50), queries, own, "reth").withColumn("score", _scaled_round("score"))
 
 
-@query(f"""WITH {VEC}, {KNN_ALL}, {I}, w AS (SELECT item_id, len(list_intersect(string_split(lower(title), ' '), ['the', 'of', 'and'])) AS hits FROM items),
+@query(f"""WITH {VEC}, {KNN}, {I}, w AS (SELECT item_id, len(list_intersect(string_split(lower(title), ' '), ['the', 'of', 'and'])) AS hits FROM items),
     s AS (SELECT query_id, item_id, round(similarity + 0.02 * hits, 6) AS score FROM sims JOIN w USING (item_id))
     SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 20""")
-def library_literal_boost_all(spark, sf_dir):
+def library_literal_boost(spark, sf_dir):
     words = F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(F.lit("the"), F.lit("of"), F.lit("and"))))
     rows = P.items(spark, sf_dir).select("item_id", (O.WORD_BOOST * words).alias("bonus")).join(_vectors(spark, sf_dir), "item_id")
     return O.nearest_each(rows, _queries(spark, sf_dir), 20).withColumnRenamed("similarity", "score")
