@@ -75,3 +75,61 @@ def classified(model, vectors: DataFrame) -> DataFrame:
 
     rows = vectors.select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return model.transform(rows).select("item_id", vector_to_array("probability")[1].alias("p"))
+
+
+# Clicks of these sources come from the reader; others were generated for them.
+HARVESTED = ("ui", "agent", "implicit")
+
+
+def fold_auc(rows: DataFrame, label: str, folds: int) -> float | None:
+    """Mean area under the curve of the click classifier over folds of rows (item_id, embedding, label column 0 or 1), None if a class is too small.
+
+    Each class is dealt over the folds in the order of a hash of its items, so that folds hold equal shares of it; there are never more
+    folds than members of the lesser class.
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from tracewright.operators.ranking import positions
+
+    n = dict(rows.groupBy(label).count().collect())  # two rows
+    folds = min(folds, n.get(0, 0), n.get(1, 0))
+    if folds < 2:
+        return None
+    own = rows.select("item_id", "embedding", F.col(label).alias("useful"), F.xxhash64("item_id").cast("double").alias("h"))
+    parts = [positions(own.filter(F.col("useful") == c), "h", "item_id") for c in (0, 1)]
+    dealt = parts[0].unionByName(parts[1]).select("item_id", "embedding", "useful", (F.col("rank") % folds).alias("fold")).persist()
+    measure, out = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="useful"), []
+    for k in range(folds):
+        train, test = dealt.filter(F.col("fold") != k), dealt.filter(F.col("fold") == k)
+        model = click_classifier(train.select("item_id", "useful"), train.select("item_id", "embedding"))
+        out.append(measure.evaluate(classified(model, test).join(test.select("item_id", F.col("useful").cast("double").alias("useful")), "item_id")))
+    dealt.unpersist()
+    return sum(out) / len(out)
+
+
+def evaluate_clicks(clicks: DataFrame, vectors: DataFrame, n_holdout: int = 5, max_folds: int = 10) -> dict | None:
+    """auc of one user's click classifier, and provenance_auc: how well the same model tells where a click came from. Bootstrap clicks don't count: their
+    labels are a threshold of the same vectors. None for fewer than n_holdout + 5 clicks or one class. A fold holds n_holdout clicks out while that
+    makes no more than max_folds fits; beyond, folds are larger and still hold every click out once. clicks: item_id (once each), useful, source."""
+    real = clicks.filter("source <> 'bootstrap'").join(vectors.select("item_id", "embedding"), "item_id").withColumn("harvested", F.col("source").isin(*HARVESTED).cast("int")).persist()
+    n = real.count()
+    folds = min(max_folds, max(2, n // n_holdout))
+    auc = fold_auc(real, "useful", folds) if n >= n_holdout + 5 else None
+    out = None if auc is None else {"auc": auc, "n_clicks": n, "provenance_auc": fold_auc(real, "harvested", folds)}
+    real.unpersist()
+    return out
+
+
+def pseudo_clicks(vectors: DataFrame, interests: DataFrame, k: int = 30) -> DataFrame:
+    """user_id, item_id, useful, source = bootstrap: for each of interests (user_id, embedding) its k / 2 nearest vectors (item_id, embedding) as useful
+    and the k / 2 farthest as not; an even number of all where there are fewer than k. For demonstrations, never for measuring."""
+    from tracewright.operators.feed import nearest_each
+
+    half = min(k, vectors.count()) // 2
+    queries = interests.select(F.col("user_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    away = queries.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))  # at most k rows each
+    top = nearest_each(vectors, queries, max(half, 1)).withColumn("place", place).filter(F.col("place") <= half)
+    low = nearest_each(vectors, away, max(2 * half, 1)).join(top.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("place", place).filter(F.col("place") <= half)
+    both = top.withColumn("useful", F.lit(1)).unionByName(low.withColumn("useful", F.lit(0)))
+    return both.select(F.col("query_id").alias("user_id"), "item_id", "useful", F.lit("bootstrap").alias("source"))

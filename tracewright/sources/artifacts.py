@@ -180,18 +180,33 @@ def read_bibtex(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.input_file_name().alias("path"), F.explode(bibtex_entries("value")).alias("e")).select("path", "e.*")
 
 
-# The two forms of a claim in a draft.
+# The two forms of a claim in a draft, and its fields.
 CLAIM = r"(?s)<!--\s*claim:\s*(.*?)\s*-->"
+TEX_CLAIM = r"(?m)(?<!\\)%[ \t]*claim:[ \t]*(.*?)[ \t]*$"
+CLAIM_TEXTS = ("as_of", "split", "cite", "model")
 CITED = r"\\(?:cite|citep|citet|autocite|parencite)\*?(?:\[[^\]]*\])*\{([^}]*)\}"
 
 
-def read_claims(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """path, n, raw, project, run, metric, claimed, tol, problem of the claims in drafts; malformed ones keep their text."""
+def read_claims(spark: SparkSession, folder: str, pattern: str = "*.{md,tex}") -> DataFrame:
+    """path, n, line, raw, project, run, metric, claimed, tol, as_of, split, step, cite, model, problem of the claims in Markdown
+    comments and LaTeX comments; malformed ones (no run, metric or value, or a tol or step that is no number) keep their text."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    found = files.select(F.input_file_name().alias("path"), F.posexplode(F.regexp_extract_all("value", F.lit(CLAIM), 1)).alias("n", "raw"))
+    files = files.select(F.input_file_name().alias("path"), "value")
+    lines = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.size(F.split(t, "\n")) - 1)
+
+    def found(rows: DataFrame, form: str) -> DataFrame:
+        whole, between = F.regexp_extract_all("value", F.lit(form), 0), F.split("value", form)
+        rows = rows.select("path", whole.alias("whole"), between.alias("between"), F.posexplode(F.regexp_extract_all("value", F.lit(form), 1)).alias("n", "raw"))
+        return rows.select("path", "n", (lines(F.slice("between", 1, F.col("n") + 1)) + lines(F.slice("whole", 1, F.col("n"))) + 1).alias("line"), "raw")
+
+    tex = F.lower("path").endswith(".tex")
+    claims = found(files.filter(~tex), CLAIM).unionByName(found(files.filter(tex), TEX_CLAIM))
     pick = lambda p: F.nullif(F.regexp_extract("raw", p, 1), F.lit(""))
-    out = found.select("path", "n", "raw", pick(r"^([^/\s]+)/").alias("project"), pick(r"^[^/\s]+/(\S+)").alias("run"), F.lower(pick(r"metric=(\S+)")).alias("metric"), pick(r"value=(\S+)").try_cast("double").alias("claimed"), F.coalesce(pick(r"tol=(\S+)").try_cast("double"), F.lit(0.0)).alias("tol"))
-    return out.withColumn("problem", F.when(F.col("run").isNull() | F.col("metric").isNull() | F.col("claimed").isNull(), "malformed"))
+    field = lambda name: pick(rf"(?:^|\s){name}=(\S+)")
+    numbers = {"claimed": field("value").try_cast("double"), "tol": F.when(field("tol").isNull(), 0.0).otherwise(field("tol").try_cast("double")), "step": field("step").try_cast("long")}
+    out = claims.select("*", pick(r"^([^/\s]+)/").alias("project"), pick(r"^[^/\s]+/(\S+)").alias("run"), F.lower(field("metric")).alias("metric"), *[c.alias(k) for k, c in numbers.items()], *[field(k).alias(k) for k in CLAIM_TEXTS])
+    bad_step = field("step").isNotNull() & F.col("step").isNull()
+    return out.withColumn("problem", F.when(F.col("run").isNull() | F.col("metric").isNull() | F.col("claimed").isNull() | F.col("tol").isNull() | bad_step, "malformed"))
 
 
 def read_citations(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +218,24 @@ def read_citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_feed(rows: DataFrame, body: str = "body") -> DataFrame:
-    """guid, url, title, summary of the entries of RSS bodies, by from_xml."""
+    """guid, url, title, summary of the entries of RSS and Atom bodies, by from_xml. An Atom entry's url is its alternate link, else its first; its
+    summary stands before its content."""
     item = "channel STRUCT<item: ARRAY<STRUCT<guid: STRING, link: STRING, title: STRING, description: STRING>>>"
-    entries = F.explode(F.from_xml(body, item)["channel"]["item"])
-    return rows.select(entries.alias("i")).select(F.col("i.guid").alias("guid"), F.col("i.link").alias("url"), F.col("i.title").alias("title"), F.col("i.description").alias("summary"))
+    entry = "entry ARRAY<STRUCT<id: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, title: STRING, summary: STRING, content: STRING>>"
+    atom = F.regexp_like(body, F.lit(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<feed[\s>]"))
+    rss = rows.filter(~atom).select(F.explode(F.from_xml(body, item)["channel"]["item"]).alias("i"))
+    rss = rss.select(F.col("i.guid").alias("guid"), F.col("i.link").alias("url"), F.col("i.title").alias("title"), F.col("i.description").alias("summary"))
+    entries = rows.filter(atom).select(F.explode(F.from_xml(body, entry)["entry"]).alias("i"))
+    own = F.filter("i.link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    url = F.coalesce(F.get(own, F.lit(0))["_href"], F.get("i.link", F.lit(0))["_href"])
+    return rss.unionByName(entries.select(F.col("i.id").alias("guid"), url.alias("url"), F.col("i.title").alias("title"), F.coalesce("i.summary", "i.content").alias("summary")))
+
+
+def seed_feeds(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
+    """url, title of the feeds that a TOML file lists ([[feeds]] with url and title) and feeds (url) lacks; the first of equal urls. An absent file is an error."""
+    import tomllib
+
+    text = spark.read.text(path, wholetext=True).first()  # one file that people write
+    listed = tomllib.loads(text.value if text else "").get("feeds", [])
+    first = {f["url"]: f.get("title") for f in reversed(listed)}
+    return spark.createDataFrame(list(first.items()), "url string, title string").join(feeds.select("url"), "url", "left_anti")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.shared import may_checkpoint
 from tracewright.functions.text import normalise_arxiv
 
 # What of each service's body is read, and kinds of records that are no papers.
@@ -87,18 +86,11 @@ def parse_openalex(bodies: DataFrame, body: str = "body") -> DataFrame:
     return _rows(bodies, items, "openalex", external_id=F.nullif(F.regexp_extract(e["id"], r"([^/]*)$", 1), F.lit("")), title=_tidy(F.coalesce(e["title"], e["display_name"])), abstract=rebuilt(e["abstract_inverted_index"]), authors=authors, published=e["publication_date"], venue=F.lit(None).cast("string"), doi=F.when(arxiv.isNull(), _tidy(doi)), arxiv_id=arxiv)
 
 
-def _may_checkpoint(spark: SparkSession) -> None:
-    """The cluster's shared folder is spark.checkpoint.dir; one of our own only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or f"/tmp/checkpoints/tracewright-{os.getuid()}")
-
-
 def dedup_papers(papers: DataFrame, order: str, rounds: int = 64) -> DataFrame:
     """Papers (order, doi, arxiv_id) less those that share an id with an earlier paper that stays: a paper is dropped only for one that
     is itself kept. In each round, undecided papers that are first for each of their ids stay, and what shares an id with them goes;
     a chain of k alternating ids takes about k / 2 rounds, and rounds bounds them (an error beyond)."""
-    _may_checkpoint(papers.sparkSession)
+    may_checkpoint(papers.sparkSession)
     keys = F.filter(F.array(F.concat(F.lit("d:"), F.lower("doi")), F.concat(F.lit("a:"), F.col("arxiv_id"))), lambda k: k.isNotNull())
     free = papers.filter(F.size(keys) == 0).select(order)
     left = papers.select(order, F.explode(keys).alias("k")).checkpoint()
