@@ -55,11 +55,16 @@ def model_producers(files: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def click_classifier(clicks: DataFrame, vectors: DataFrame, c: float = 0.1):
-    """Logistic regression on vectors of judged items, classes weighted to balance; None while only one class is there. The penalty is 1 / (c n), as libraries that take an inverse strength define it."""
+    """The balanced classifier of judged items' vectors; None while only one class is there."""
+    return balanced_fit(clicks.join(vectors, "item_id").select("useful", "embedding"), c)
+
+
+def balanced_fit(judged: DataFrame, c: float = 0.1):
+    """Logistic regression of useful (0 or 1) on embedding, classes weighted to balance; None while only one class is there. The penalty is 1 / (c n), as
+    libraries that take an inverse strength define it."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
 
-    rows = clicks.join(vectors, "item_id").select(F.col("useful").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    rows = judged.select(F.col("useful").cast("double").alias("label"), _features())
     n = dict(rows.groupBy("label").count().collect())
     if len(n) < 2:
         return None
@@ -69,16 +74,22 @@ def click_classifier(clicks: DataFrame, vectors: DataFrame, c: float = 0.1):
     return model.fit(rows.withColumn("w", weight))
 
 
+def _features():
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+
+
 def classified(model, vectors: DataFrame) -> DataFrame:
     """item_id, p: how likely an item is useful."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    rows = vectors.select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return model.transform(rows).select("item_id", vector_to_array("probability")[1].alias("p"))
+    return model.transform(vectors.select("item_id", _features())).select("item_id", vector_to_array("probability")[1].alias("p"))
 
 
 # Clicks of these sources come from the reader; others were generated for them.
 HARVESTED = ("ui", "agent", "implicit")
+FIT_ROWS = 20_000  # rows of a partition that folds are fitted on: passes over few rows cost their tasks, not their rows
 
 
 def fold_auc(rows: DataFrame, label: str, folds: int) -> float | None:
@@ -97,12 +108,12 @@ def fold_auc(rows: DataFrame, label: str, folds: int) -> float | None:
         return None
     own = rows.select("item_id", "embedding", F.col(label).alias("useful"), F.xxhash64("item_id").cast("double").alias("h"))
     parts = [positions(own.filter(F.col("useful") == c), "h", "item_id") for c in (0, 1)]
-    dealt = parts[0].unionByName(parts[1]).select("item_id", "embedding", "useful", (F.col("rank") % folds).alias("fold")).persist()
-    measure, out = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="useful"), []
+    dealt = parts[0].unionByName(parts[1]).select("embedding", "useful", (F.col("rank") % folds).alias("fold"))
+    dealt = dealt.coalesce(1 + (n[0] + n[1]) // FIT_ROWS).persist()
+    measure, out = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="useful"), []
     for k in range(folds):
-        train, test = dealt.filter(F.col("fold") != k), dealt.filter(F.col("fold") == k)
-        model = click_classifier(train.select("item_id", "useful"), train.select("item_id", "embedding"))
-        out.append(measure.evaluate(classified(model, test).join(test.select("item_id", F.col("useful").cast("double").alias("useful")), "item_id")))
+        model = balanced_fit(dealt.filter(F.col("fold") != k))
+        out.append(measure.evaluate(model.transform(dealt.filter(F.col("fold") == k).select(F.col("useful").cast("double").alias("useful"), _features()))))
     dealt.unpersist()
     return sum(out) / len(out)
 
