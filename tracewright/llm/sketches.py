@@ -136,16 +136,20 @@ def edited(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     hot = settle(spark, turns.filter(F.col("rows") > most).select("id", F.ceil(F.col("rows") / most).cast("int").alias("parts")), "sketches-hot")
     hot_of = lambda of, name: F.broadcast(hot.select(F.col("id").alias(of), F.col("parts").alias(name)))
     rows = docs.join(hot_of("of", "parts"), F.col("id").eqNullSafe(F.col("of")) & F.col("parts").isNotNull(), "left")
-    rows = rows.select(*_place("id"), F.pmod(F.xxhash64("text"), F.coalesce("parts", F.lit(1))).cast("int").alias("deal"), "text", sketch(F.col("text"), words, fraction).alias("own"))
+    rows = rows.select(*_place("id"), F.pmod(F.xxhash64("text"), F.coalesce("parts", F.lit(1))).cast("int").alias("deal"), "text")
     rows = rows.repartition(partitions(spark), *keys)  # moved once for both joins
     asks = turns.join(hot_of("of", "parts"), F.col("id").eqNullSafe(F.col("of")), "left").join(hot_of("next", "next_parts"), F.col("next_id").eqNullSafe(F.col("next")), "left")
-    asks = asks.select(*_place("next_id"), F.col("id").alias("asker"), "need", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("next_parts", F.lit(1)).alias("next_parts"))
-    heads = rows.join(_dealt(asks, "next_parts"), keys).select("asker", "parts", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), "own").alias("next"))
-    heads = heads.groupBy("asker", "parts").agg(F.min("next").alias("next"))
-    heads = _dealt(heads.select(*_place("asker"), "parts", "next"), "parts").select(*keys, "next.head", F.col("next.own").alias("of_next"))
+    asks = asks.select(*_place("next_id"), F.struct(*_place("id")).alias("asker"), "need", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("next_parts", F.lit(1)).alias("next_parts"))
+    # A sketch costs less to make again than to move: only that of the next document travels, in half the bytes of its digits.
+    packed = F.unhex(fingerprint(sketch(F.col("text"), words, fraction)))
+    heads = rows.join(_dealt(asks, "next_parts"), keys).select("asker.*", "parts", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), packed.alias("own")).alias("next"))
+    heads = _dealt(heads, "parts").groupBy(*keys).agg(F.min("next").alias("next"))
     size = F.length("text")
     cut = F.floor(size / part).cast("int")
-    out = rows.join(heads, keys)
-    out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - cut), F.substring("head", F.lit(1), cut)))
-    out = out.withColumn("of_edited", sketch(F.col("edited"), words, fraction))
-    return out.select(F.when(~F.col("none"), F.col("key")).alias("id"), size.cast("long").alias("n_chars"), "text", "edited", "own", "of_edited", "of_next")
+    out = rows.join(heads, keys).withColumn("edited", F.concat(F.substring("text", F.lit(1), size - cut), F.substring("next.head", F.lit(1), cut)))
+    digits = F.regexp_extract_all(F.hex("next.own"), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+    return out.select(
+        F.when(~F.col("none"), F.col("key")).alias("id"), size.cast("long").alias("n_chars"), "text", "edited",
+        sketch(F.col("text"), words, fraction).alias("own"), sketch(F.col("edited"), words, fraction).alias("of_edited"),
+        F.transform(digits, F.lower).alias("of_next"),
+    )
