@@ -9,7 +9,8 @@ import tracewright.plans.drafts
 import tracewright.plans.feed
 import tracewright.plans.ledger
 import tracewright.plans.library  # noqa: F401
-import tracewright.plans.status  # noqa: F401
+import tracewright.plans.status
+import tracewright.plans.upkeep  # noqa: F401
 from tests.oracle import check
 from tracewright.functions import text as X
 from tracewright.operators import graph, ledger, library, ranking

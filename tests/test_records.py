@@ -119,12 +119,6 @@ def test_library_upkeep(spark):
     rows = spark.createDataFrame([("i", 1, "A", 2000), ("i", 2, "A", None), ("i", 3, "B", 2001), ("j", 4, "", 1)], "identity string, ref_id long, title string, year int")
     assert sorted(tuple(r) for r in library.merge_conflicts(rows, ("title", "year")).collect()) == [("i", "title", "A", "B"), ("i", "year", "2000", "2001")]
 
-    stored = spark.createDataFrame([("doi:10.1/a", 1, "Deep nets", 2000, None)], "identity string, ref_id long, title string, year int, lang string")
-    new = [(10, "bib", "Deep nets", None, "en", "10.1/A", None), (11, "feed", "New", 2020, None, None, "2001.1"), (12, "bib", "New", 2020, None, None, "arXiv:2001.1v3"), (13, "feed", " ", None, None, None, None)]
-    merged, report = library.sync(stored, spark.createDataFrame(new, "ref_id long, reader string, title string, year int, lang string, raw_doi string, raw_arxiv string"))
-    assert {r.reader: tuple(r)[1:] for r in report.collect()} == {"bib": (2, 1, 1, 0), "feed": (2, 0, 1, 1)}
-    assert {r.identity: (r.title, r.year, r.lang) for r in merged.collect()} == {"doi:10.1/a": ("Deep nets", 2000, "en"), "arxiv:2001.1": ("New", 2020, None)}
-
     log = library.edit_log(spark.createDataFrame([(1, "t", "a", 1), (1, "t", "a", 2), (1, "t", None, 3), (1, "t", "b", 4)], "ref_id long, field string, value string, at long"))
     assert [tuple(r)[2:] for r in log.orderBy("from_at").collect()] == [("a", 1, 3), (None, 3, 4), ("b", 4, None)]
 

@@ -93,19 +93,6 @@ def merge_conflicts(refs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return values.join(kept, ["identity", "field"]).filter("value <> kept").select("identity", "field", "kept", F.col("value").alias("offered"))
 
 
-def sync(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(library, report) after readers' entries (reader, title, year, lang, raw_doi, raw_arxiv): entries join the row of their identity and fill what it lacks, or begin a row. The report counts per reader: seen, added and merged entries and those without an identity, which go."""
-    new = normalised(incoming).withColumn("known", F.lit(False))
-    old = stored.select("identity").distinct().withColumn("stored", F.lit(True))
-    marked = new.join(old, "identity", "left")
-    first = marked.filter("stored IS NULL AND identity IS NOT NULL").groupBy("identity").agg(F.min(F.struct("reader", "ref_id")).alias("f"))
-    told = marked.join(first, "identity", "left").withColumn("adds", F.coalesce(F.struct("reader", "ref_id") == F.col("f"), F.lit(False)))
-    report = told.groupBy("reader").agg(F.count(F.lit(1)).alias("seen"), F.count_if("adds").alias("added"), F.count_if(~F.col("adds") & F.col("identity").isNotNull()).alias("merged"), F.count_if(F.col("identity").isNull()).alias("refused"))
-    columns = ["identity", "ref_id", "title", "year", "lang"]
-    both = stored.select(*columns).unionByName(new.filter("identity IS NOT NULL").select(*columns))
-    return merge_fill(both), report
-
-
 def edit_log(edits: DataFrame) -> DataFrame:
     """Versions of fields from edits (ref_id, field, value, at): each value with the time it held from and to (null for the present one); an edit to the value that holds changes nothing."""
     w = Window.partitionBy("ref_id", "field").orderBy("at", "value")
