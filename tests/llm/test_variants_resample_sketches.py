@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import check
-from tracewright.llm import queries, resample, sketches, variants
+from tracewright.llm import langid, quality, queries, resample, sketches, variants
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.001"
@@ -282,3 +282,23 @@ def test_native(spark):
     df = queries.op13_document_fingerprints(spark, SF)
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExternalRDD"))
+
+
+# fits of earlier operators
+
+
+@pytest.mark.parametrize("one_id", [3, 7, 12, None])
+def test_language_with_one_id(spark, one_id):
+    rows = [(one_id, f"aa words of text {i}", "aa") for i in range(300)] + [(i, f"bb other text {i}", "bb") for i in range(300)] + [(None, None, "cc"), (1, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert model.languages == ("aa", "bb") and all(t.count(langid.BETWEEN) == 23 for t in model.texts)
+    assert langid.fit(df.coalesce(1)) == model
+
+
+def test_shared_lines_are_a_parameter(spark):
+    rows = [(i, f"good prose number {i * 7919}\nthis line stands in all of the texts") if i % 2 else (i, f"zz {i} qq\nthis line stands in all of the texts") for i in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    line = b"this line stands in all"
+    held = {n: quality.fit(spark, docs, labels, shared_line_bytes=n) for n in (20, None)}
+    assert line not in held[20].good + held[20].bad and line in held[None].good and line in held[None].bad

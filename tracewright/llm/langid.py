@@ -14,8 +14,8 @@ What is learned and parsed is a text's words, runs of letters (``str.isalpha``)
 in lower case, with one space around each; matches run across words.
 
 Fitting takes at most ``max_docs`` labelled rows of each language, in the order of
-a hash of their ids, and their whole texts; that bound is the only one. Null
-languages and texts are left out; repeated rows count again. The automata take
+a hash of id and text, and their whole texts; that bound is the only one. Null
+languages and texts are left out; repeated rows count again, and null or repeated ids are like others. The automata take
 some hundred bytes for each character learned, in every worker.
 
 Predictions cover whole texts: ``und`` for a null text, a text without a letter
@@ -124,18 +124,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model from rows (id, text, language). At most max_docs rows of each language reach the driver, whole."""
     from pyspark.sql import Window
 
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
-    # A hash bound first, so that no language's rows all meet in one window: it leaves every language more than max_docs rows, or all it has.
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return Model((), ())
-    span = 1 << 40
-    bound = F.lit(0).cast("long")
-    for lang, n in sizes.items():
-        bound = F.when(F.col("lang") == lang, F.lit(int(min(1.0, max(3 * max_docs, max_docs + 100) / n) * span))).otherwise(bound)
-    near = rows.filter(F.pmod(F.col("h"), F.lit(span)) < bound)
+    # The hash is of id and text, and tasks keep max_docs rows of each language before anything is shuffled: one id for many rows takes none of them out, nor to one task.
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).cast("string").alias("t"))
     best = Window.partitionBy("lang").orderBy("h", "t")
-    picked = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_docs).collect()
+    picked = rows.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_docs).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
         if own := marked(r["t"]):

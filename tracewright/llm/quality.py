@@ -8,7 +8,8 @@ sees the smaller compressed size over the text's size: how much a difference
 means depends on how far the text compresses at all (noise does with neither).
 
 Fitting takes at most ``max_rows`` labels of each class, in the order of a hash of
-the id, and their whole texts; that bound is the only one. Half of them build the
+the id, and their whole texts. Lines of ``shared_line_bytes`` or more that several of these texts have are left out of the
+dictionaries (never of a score): they tell nothing of either class. None keeps them. Half of them build the
 dictionaries, the other half calibrate, so the calibration sees no text that a
 dictionary holds. Scoring covers whole texts of all rows.
 
@@ -110,7 +111,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, dictionary_bytes: int = 112_640) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, dictionary_bytes: int = 112_640, shared_line_bytes: int | None = 20) -> Model:
     """A model from docs (id, text) and labels (id, label 0 or 1). max_rows labels of each class, in the order of a hash of their ids, are looked up in docs; their texts reach the driver."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).distinct()
     picked = [tuple(r) for y in (0, 1) for r in rows.filter(F.col("y") == y).orderBy("h", "id").limit(max_rows).collect()]
@@ -118,7 +119,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     found = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(F.broadcast(wanted), "id").select("y", "h", "t").collect()
     got = {k: [bytes(t) for y, _, t in sorted(tuple(r) for r in found) if y == k] for k in (0, 1)}
-    halves = {y: (t, got[y][1::2]) for y, t in without_repeats({y: t[::2] for y, t in got.items()}).items()}
+    built = {y: t[::2] for y, t in got.items()}
+    if shared_line_bytes is not None:
+        built = without_repeats(built, shared_line_bytes)
+    halves = {y: (t, got[y][1::2]) for y, t in built.items()}
     n0, n1 = len(got[0]), len(got[1])
     if min(len(halves[0][1]), len(halves[1][1])) == 0:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
