@@ -11,8 +11,8 @@ would be several times that. So documents are taken in chunks of ``CHUNK`` words
 distinct features go to their shards, each once, with the places where they occur (document, count), packed and
 compressed; a hot feature is one entry of each chunk. A shard merges the chunks' entries by string, hashes each string, and puts
 its bucket in its place. These tables are settled; buckets are added up, gains (a number for each bucket) go to all
-tasks, and each chunk gets its features back, now with gains. Shards are several for each
-partition, sorted, so that a task holds one at a time.
+tasks, and each chunk gets its features back as gains, those of a document added up within a task before they travel. Shards are several
+for each partition, sorted, so that a task holds one at a time.
 
 A document's weight is the floored mean of its features' gains, 0 without features; its
 score adds Gumbel noise from sha256(``<seed>:<id>``). Of the documents with ``min_words`` words at least
@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import kept, partitions, settle, sorted_groups
+from tracewright.llm.shared import kept, partitions, settle, sorted_groups, trim
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a chunk, and bytes of text that are split at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SPLIT_BYTES = 1 << 22
+#: Documents whose sums a task holds before it sends them on.
+HELD = 1 << 20
 SHARDS_PER_PARTITION = 4
 LEVEL = 3
 
@@ -96,7 +98,7 @@ class _Chunk:
         split = pc.split_pattern_regex(pc.ascii_lower(texts), BETWEEN)
         words, docs = split.flatten(), pc.list_parent_indices(split)
         some = pc.not_equal(words, "")
-        words, docs = words.filter(some), docs.filter(some).to_numpy().astype(np.int64) + len(self.ids)
+        words, docs = words.filter(some), docs.filter(some).to_numpy().astype(np.int32) + np.int32(len(self.ids))
         self.ids += ids.to_pylist()
         self.parts.append(words)
         self.docs.append(docs)
@@ -170,8 +172,8 @@ def _chunks(shards: int, chunk_words: int):
         def out():
             words, features, entries = chunk.features(shards)
             yield pa.RecordBatch.from_pylist([{"shard": number % shards, "chunk": number, "ids": chunk.ids, "words": words.tolist(), "features": features.tolist()}], schema)
-            for s, blob in entries:
-                yield pa.RecordBatch.from_pylist([{"shard": s, "chunk": number, "blob": blob}], schema)
+            yield pa.RecordBatch.from_pylist([{"shard": s, "chunk": number, "blob": blob} for s, blob in entries], schema)
+            trim()
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).fill_null("")
@@ -240,8 +242,7 @@ def _shards(buckets: int, with_places: bool):
                 own, entries = _merge(blobs, buckets)
                 totals += own
                 if with_places:
-                    for c, columns in zip(chunks, entries, strict=True):
-                        yield pa.RecordBatch.from_pylist([{"chunk": c, "blob": _pack(*columns)}], schema)
+                    yield pa.RecordBatch.from_pylist([{"chunk": c, "blob": _pack(*columns)} for c, columns in zip(chunks, entries, strict=True)], schema)
             chunks.clear()
             blobs.clear()
 
@@ -283,51 +284,83 @@ def gains(raw: list[int], target: list[int]) -> list[int]:
     return [math.floor(1000 * math.log(float(t + 1) * float(s_all + n) / (float(s + 1) * float(t_all + n)))) for s, t in zip(raw, target, strict=True)]
 
 
-def _weights(by_bucket):
+def _sums_of(by_bucket):
+    """Sums of gains by chunk and document, over the shards of a task."""
+    schema = pa.schema([("chunk", pa.int64()), ("blob", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("ids", "words", "features")]])
+
     def run(batches):
         kept("resample", bool)
         gain = np.array(by_bucket, dtype=np.int64)
-        head, parts = None, []
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
 
-        def done():
-            if head is None:
-                return []
-            n = len(head["ids"])
-            total = np.zeros(n, dtype=np.int64)
-            for doc, value in parts:
-                total[doc] += value
-            features = np.array(head["features"], dtype=np.int64)
-            weight = np.where(features > 0, total // np.maximum(features, 1), 0)
-            return [pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(head["words"], pa.int64()), pa.array(features), pa.array(weight)], ["id", "n_words", "n_features", "weight"])]
-
-        for _, first, rows in sorted_groups(batches, ["chunk"]):
-            if first:
-                yield from done()
-                head, parts = None, []
-            for row in rows.to_pylist():
+        def out():
+            rows = []
+            for chunk, (doc, total) in held.items():
+                plain = (total << 1) ^ (total >> 63)  # signs go to the last bit
+                rows.append({"chunk": chunk, "blob": _pack(np.diff(doc, prepend=0), plain & 0xFFFFFFFF, plain >> 32)})
+            held.clear()
+            return pa.RecordBatch.from_pylist(rows, schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
                 if row["blob"] is None:
-                    head = row
+                    yield pa.RecordBatch.from_pylist([row], schema)
                     continue
                 (bucket, sizes, delta, count), _ = _unpack(row["blob"])
-                sizes = sizes + 1
-                doc = _sums(delta, sizes)
-                value = np.repeat(gain[bucket], sizes) * (count + 1)
-                known = np.unique(doc)
-                sums = np.zeros(len(known), dtype=np.int64)
-                np.add.at(sums, np.searchsorted(known, doc), value)
-                parts.append((known, sums))
-        yield from done()
+                doc = _sums(delta, sizes + 1)
+                value = np.repeat(gain[bucket], sizes + 1) * (count + 1)
+                known, more = held.pop(row["chunk"], (doc[:0], value[:0]))
+                size -= len(known)
+                both, of = np.unique(np.concatenate([known, doc]), return_inverse=True)
+                total = np.zeros(len(both), dtype=np.int64)
+                np.add.at(total, of, np.concatenate([more, value]))
+                held[row["chunk"]] = (both, total)
+                size += len(both)
+                if size > HELD:
+                    yield out()
+                    size = 0
+        yield out()
 
     return run
 
 
+def _weights(batches):
+    kept("resample", bool)
+    head, parts = None, []
+
+    def done():
+        if head is None:
+            return []
+        total = np.zeros(len(head["ids"]), dtype=np.int64)
+        for blob in parts:
+            (delta, low, high), _ = _unpack(blob)
+            plain = low | (high << 32)
+            total[np.cumsum(delta)] += (plain >> 1) ^ -(plain & 1)
+        features = np.array(head["features"], dtype=np.int64)
+        weight = np.where(features > 0, total // np.maximum(features, 1), 0)
+        return [pa.RecordBatch.from_arrays([pa.array(head["ids"], pa.int64()), pa.array(head["words"], pa.int64()), pa.array(features), pa.array(weight)], ["id", "n_words", "n_features", "weight"])]
+
+    for _, first, rows in sorted_groups(batches, ["chunk"]):
+        if first:
+            yield from done()
+            head, parts = None, []
+        for row in rows.to_pylist():
+            if row["blob"] is None:
+                head = row
+            else:
+                parts.append(row["blob"])
+    yield from done()
+
+
 def weighted(spark: SparkSession, docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", buckets: int = 10_000, chunk_words: int = CHUNK) -> DataFrame:
     """id, n_words, n_features, weight of each of docs."""
     counted = feature_counts(spark, docs, id_col, text_col, buckets, chunk_words=chunk_words)
     aims = feature_counts(spark, target.select(F.lit(None).cast("long").alias("id"), F.col(f"`{target_text_col}`").alias("text")), "id", "text", buckets, with_places=False, chunk_words=chunk_words)
     by_bucket = gains(bucket_totals(counted, buckets), bucket_totals(aims, buckets))
     back = counted.filter("chunk IS NOT NULL").select("chunk", "blob", "ids", "words", "features")
-    return back.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_weights(by_bucket), "id long, n_words long, n_features long, weight long")
+    back = back.mapInArrow(_sums_of(by_bucket), "chunk long, blob binary, ids array<long>, words array<long>, features array<long>")
+    return back.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_weights, "id long, n_words long, n_features long, weight long")
 
 
 def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", percent: int = 25, min_words: int = 20, seed: int = 7, buckets: int = 10_000, chunk_words: int = CHUNK) -> DataFrame:

@@ -82,14 +82,19 @@ def kept(key, make):
     if key not in _kept:
         if _kept:
             _kept.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
         _kept[key] = make()
     return _kept[key]
 
 
+def trim() -> None:
+    """Give the memory that this process no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple]:
     """Runs of rows with equal keys from Arrow batches sorted by them: (key values, True where the run starts, rows as a batch). A run that spans batches comes in several parts."""
     import numpy as np
