@@ -41,11 +41,13 @@ from tracewright.llm.shared import kept, partitions, settle, sorted_groups, trim
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a chunk, and bytes of text that are split at once.
-CHUNK = 1 << 20
+CHUNK = 3 << 19
 SPLIT_BYTES = 1 << 22
 #: Documents whose sums a task holds before it sends them on.
 HELD = 1 << 20
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 2
+#: Tasks that add up totals of buckets before they reach the driver.
+ADDERS = 16
 LEVEL = 3
 
 
@@ -269,13 +271,19 @@ def feature_counts(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     return settle(spark, sent.mapInArrow(_shards(buckets, with_places), COUNTED), "resample-features")
 
 
+def _added(batches):
+    total = None
+    for batch in batches:
+        for row in batch.column(0).to_pylist():
+            total = np.array(row, dtype=np.int64) + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["totals"])
+
+
 def bucket_totals(counted: DataFrame, buckets: int) -> list[int]:
-    """Occurrences of features by bucket; as many numbers as there are buckets reach the driver."""
-    sums = counted.filter("totals IS NOT NULL").select(F.posexplode("totals").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = [0] * buckets
-    for bucket, n in sums.collect():
-        out[bucket] = n
-    return out
+    """Occurrences of features by bucket; ADDERS rows of as many numbers as there are buckets reach the driver at most."""
+    sums = counted.select("totals").filter("totals IS NOT NULL").coalesce(ADDERS).mapInArrow(_added, "totals array<long>").collect()
+    return np.sum([r.totals for r in sums] or [[0] * buckets], axis=0).tolist()
 
 
 def gains(raw: list[int], target: list[int]) -> list[int]:
