@@ -11,10 +11,11 @@ from tracewright.operators import corpora, inflight, library
 from tracewright.sources import records
 
 SHA = "ab" * 32
+PREFIX = "ledgerbook"
 
 
 def run(**changes):
-    return {"schema": "attestation.run/1", "run_id": "r1", "family": "f", "arm": "a", "status": "complete", "started_at": "2026-01-01T00:00:00Z", "finished_at": "2026-01-01T01:00:00.5Z", "config": {"lr": 0.1},
+    return {"schema": "ledgerbook.run/1", "run_id": "r1", "family": "f", "arm": "a", "status": "complete", "started_at": "2026-01-01T00:00:00Z", "finished_at": "2026-01-01T01:00:00.5Z", "config": {"lr": 0.1},
             "metrics": [{"name": "loss", "value": 0.5, "direction": "min", "step": 1}, {"name": "loss", "value": 0.25, "direction": "min", "step": 2}], "data": [{"name": "d", "sha256": SHA, "role": "train"}]} | changes
 
 
@@ -29,17 +30,18 @@ def write(root, files):
 def test_run_records_and_quarantine(spark, tmp_path):
     bad = {"status": "status", "family": "family", "started_at": "times", "finished_at": "before", "data": "SHA-256", "metrics": "direction"}
     values = {"status": "done", "family": " ", "started_at": "yesterday", "finished_at": "2025-01-01T00:00:00Z", "data": [{"name": "d", "sha256": "xyz"}], "metrics": [{"name": "m", "value": 1.0, "direction": "up"}]}
-    files = {"p/good/attestation/run.json": run(), "p/cut/attestation/run.json": '{"schema": "attest'}
-    files |= {f"p/bad-{k}/attestation/run.json": run(**{k: v}) for k, v in values.items()}
+    files = {"p/good/ledgerbook/run.json": run(), "p/cut/ledgerbook/run.json": '{"schema": "ledge'}
+    files |= {f"p/bad-{k}/ledgerbook/run.json": run(**{k: v}) for k, v in values.items()}
     root = write(tmp_path, files)
-    rows = {r.run_dir.rsplit("/", 1)[1]: r for r in records.run_records(spark, root).collect()}
+    rows = {r.run_dir.rsplit("/", 1)[1]: r for r in records.run_records(spark, root, PREFIX).collect()}
     assert rows["good"].reasons == [] and rows["good"].record.metrics[1].value == 0.25
     assert rows["cut"].reasons == ["read: no JSON object"] and rows["cut"].record is None
     for k, said in bad.items():
         assert any(said in r for r in rows[f"bad-{k}"].reasons), k
-    imported, quarantined = records.import_project(spark, root)
+    imported, quarantined, report = records.import_project(spark, root, [records.core_reader(PREFIX)])
     assert [(r.reader, r.name, r.metrics) for r in imported.collect()] == [("core", "r1", {"loss": 0.25})]
     assert quarantined.count() == len(files) - 1
+    assert [tuple(r) for r in report.collect()] == [("core", 1, len(files) - 1)]
 
 
 def test_readers_that_users_add(spark, tmp_path, monkeypatch):
@@ -49,36 +51,53 @@ def test_readers_that_users_add(spark, tmp_path, monkeypatch):
     def fails(spark, root):
         raise RuntimeError("no such tracker")
 
-    records.register_reader(records.Reader("own", own))
-    records.register_reader(records.Reader("broken", fails))
-    root = write(tmp_path, {"a/run.json": run(run_id="r9")})
-    imported, quarantined = records.import_project(spark, root)
-    assert sorted((r.reader, r.name) for r in imported.collect()) == [("core", "r9"), ("own", "mine")]
-    assert [(r.reader, r.reasons) for r in quarantined.collect()] == [("broken", ["read: no such tracker"])]
+    def fails_late(spark, root):
+        return own(spark, root).withColumn("name", F.raise_error(F.lit("not while it runs")).cast("string"))
+
+    def corrupt(path, content):
+        if b"corrupt" in content:
+            raise KeyError("metrics")
+        return [(content.decode(), {"size": len(content)})]
+
+    for reader in (records.Reader("own", own), records.Reader("broken", fails), records.Reader("late", fails_late), records.FileReader("each", "*.own", corrupt), records.core_reader(PREFIX)):
+        records.register_reader(reader)
+    files = {"a/run.json": run(run_id="r9"), "a/one.own": "one", "b/two.own": "corrupt", "results.json": {"val": {"loss": 0.5}, "acc": 1}, "results_cut.jsonl": '{"step": 1, "loss": 0.5}\n{"step": 2, "lo', "results-bad.json": "{", "table.csv": "run,acc,note\nq,0.25,nan\n"}
+    files |= {"exp/r7/metrics/loss": "5 0.5 1\n6 0.25 2\n"}
+    root = write(tmp_path, files)
+    imported, quarantined, report = records.import_project(spark, root)
+    got = {(r.reader, r.name): r.metrics for r in imported.collect()}
+    assert got == {
+        ("core", "r9"): {"loss": 0.25}, ("own", "mine"): {"acc": 0.5}, ("each", "one"): {"size": 3.0}, ("json", "results"): {"val.loss": 0.5, "acc": 1.0},
+        ("json", "results_cut"): {"loss": 0.5}, ("csv", "q"): {"acc": 0.25}, ("mlflow", "r7"): {"loss": 0.25},
+    }
+    bad = {(r.reader, r.path.rsplit("/", 1)[-1]): r.reasons[0] for r in quarantined.collect()}
+    assert bad[("each", "two.own")] == "read: KeyError: 'metrics'" and ("json", "results-bad.json") in bad
+    assert {k for k, _ in bad} == {"each", "json", "broken", "late"} and "not while it runs" in bad[("late", root.rsplit("/", 1)[-1])]
+    assert {r.reader: (r.imported, r.quarantined) for r in report.collect()}["each"] == (1, 1)
 
 
 def test_states_and_datasets(spark, tmp_path):
     def state(*moves, **changes):
         history = [{"state": s, "at": t} for s, t in moves]
-        return {"schema": "attestation.state/1", "run_id": "r", "backend": "local", "job_id": "1", "state": moves[-1][0], "updated_at": moves[-1][1], "message": None, "history": history} | changes
+        return {"schema": "ledgerbook.state/1", "run_id": "r", "backend": "local", "job_id": "1", "state": moves[-1][0], "updated_at": moves[-1][1], "message": None, "history": history} | changes
 
     a, b, c = (f"2026-01-01T0{i}:00:00Z" for i in range(3))
     files = {"ok": state(("submitted", a), ("running", b), ("complete", c)), "first": state(("running", a)), "back": state(("submitted", b), ("running", a)), "jump": state(("submitted", a), ("complete", b)), "other": state(("submitted", a), ("running", b), state="failed")}
-    root = write(tmp_path / "s", {f"{k}/attestation/state.json": v for k, v in files.items()})
-    got = {r.run_dir.rsplit("/", 1)[1]: " ".join(r.reasons) for r in records.state_files(spark, root).collect()}
+    root = write(tmp_path / "s", {f"{k}/ledgerbook/state.json": v for k, v in files.items()})
+    got = {r.run_dir.rsplit("/", 1)[1]: " ".join(r.reasons) for r in records.state_files(spark, root, PREFIX).collect()}
     assert got["ok"] == "" and "submitted" in got["first"] and "back in time" in got["back"] and "allowed" in got["jump"] and "last entry" in got["other"]
-    data = {"schema": "attestation.dataset/1", "dataset_id": "d", "name": "n", "created_at": a, "content_sha256": SHA, "rows": 3, "files": [{"path": "x", "bytes": 1, "sha256": SHA}]}
+    data = {"schema": "ledgerbook.dataset/1", "dataset_id": "d", "name": "n", "created_at": a, "content_sha256": SHA, "rows": 3, "files": [{"path": "x", "bytes": 1, "sha256": SHA}]}
     out = data | {"files": [{"path": "../x", "bytes": 1, "sha256": SHA}]}
     twice = data | {"files": data["files"] * 2}
     root = write(tmp_path / "d", {"ok/dataset.json": data, "out/dataset.json": out, "twice/dataset.json": twice})
-    assert {r.run_dir.rsplit("/", 1)[1]: len(r.reasons) for r in records.dataset_records(spark, root).collect()} == {"ok": 0, "out": 1, "twice": 1}
+    assert {r.run_dir.rsplit("/", 1)[1]: len(r.reasons) for r in records.dataset_records(spark, root, PREFIX).collect()} == {"ok": 0, "out": 1, "twice": 1}
 
 
 def test_histories(spark, tmp_path):
-    head, loss = '{"schema":"attestation.history/1"}', '{"series":0,"name":"loss","split":"train"}'
+    head, loss = '{"schema":"ledgerbook.history/1"}', '{"series":0,"name":"loss","split":"train"}'
     point = lambda s, k, v: json.dumps({"series": s, "step": k, "value": v, "at": None})
-    root = write(tmp_path, {"ok/attestation/history.jsonl": "\n".join([head, loss, point(0, 1, 0.5), point(0, 2, 0.25)]) + "\n", "bad/attestation/history.jsonl": "\n".join([head, loss, point(0, 2, 0.5), point(0, 2, 0.5), point(7, 1, 1.0), '{"series":0,"st'])})
-    points, broken = records.histories(spark, root)
+    root = write(tmp_path, {"ok/ledgerbook/history.jsonl": "\n".join([head, loss, point(0, 1, 0.5), point(0, 2, 0.25)]) + "\n", "bad/ledgerbook/history.jsonl": "\n".join([head, loss, point(0, 2, 0.5), point(0, 2, 0.5), point(7, 1, 1.0), '{"series":0,"st'])})
+    points, broken = records.histories(spark, root, PREFIX)
     assert [(r.name, r.step, r.value) for r in points.filter("run_dir LIKE '%ok'").orderBy("step").collect()] == [("loss", 1, 0.5), ("loss", 2, 0.25)]
     assert sorted(r.reason for r in broken.collect()) == ["a series that isn't declared", "a step that doesn't rise", "no JSON"]
 
