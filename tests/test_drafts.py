@@ -64,7 +64,7 @@ def test_bibliography(spark):
 
 
 def test_routes(spark):
-    asked = [("runs", "Which arm won?"), ("runs", "show the details of kdsweep_t4"), ("runs", "the sweep"), ("runs", ""), ("kg", "How do A and B connect?"), ("sym", "solve it")]
+    asked = [("runs", "Tell me the winner, please"), ("runs", "details of the wideSweep9 one"), ("runs", "our sweep of Tuesday"), ("runs", ""), ("kg", "what may link rivers to lakes"), ("sym", "please solve x + 1 = 3")]
     assert [one(spark, D.route(F.lit(q), n)) for n, q in asked] == ["runs.compare", "runs.detail", "runs.compare", None, "kg.path", "sym.solve"]
 
 

@@ -46,7 +46,7 @@ def test_untraced(spark):
     producers = spark.createDataFrame([("m", 1, "f/one", True), ("m", 2, "f/two", False)], "model string, run_id long, label string, made boolean")
     matches = spark.createDataFrame([(2, 2, "two"), (3, 3, "three"), (4, 3, "three"), (4, 4, "four"), (5, 1, "one")], "claim_id long, run_id long, name string")
     assert rows(lineage.untraced(claims, traces, producers, matches), "claim_id", "message") == [
-        (3, "model m was output by f/one; run three neither output nor read any of its files"),
+        (3, "model m comes from f/one, and run three has none of its files"),
         (5, "model broken: [no-producer] no run made it"),
         (6, "model absent: no such model"),
     ]
