@@ -105,7 +105,7 @@ def record_canonical(spark, sf_dir):
 # ---- questions ----
 def _routes_sql(namespace):
     q = "(' ' || lower(trim(coalesce(text, ''))))"
-    cue = lambda c: f"regexp_matches({q}, '\\b{c.strip()}')" if c.startswith(" ") else f"contains({q}, '{c}')"
+    cue = lambda c: f"regexp_matches({q}, '\\b{c[0]}')" if isinstance(c, tuple) else f"contains({q}, '{c}')"
     return "CASE " + " ".join(f"WHEN {' OR '.join(map(cue, cues))} THEN '{tool}'" for tool, cues in D.ROUTES[namespace]) + " END"
 
 
