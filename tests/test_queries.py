@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import tracewright.plans.drafts
 import tracewright.plans.feed
+import tracewright.plans.judging  # noqa: F401
 import tracewright.plans.ledger
 import tracewright.plans.library  # noqa: F401
 import tracewright.plans.status
