@@ -72,7 +72,7 @@ def run_records(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     rules = [
         (r("schema") == f"{prefix}.run/1", f"schema: {prefix}.run/1 is expected"),
         _text("run_id"), _text("family"), _text("arm"),
-        (r("status").isin("complete", "failed", "cancelled"), "status: complete, failed or cancelled is expected"),
+        (r("status").isNull() | r("status").isin("complete", "failed", "cancelled"), "status: complete, failed or cancelled is expected"),
         (r("started_at").rlike(STAMP) & r("finished_at").rlike(STAMP), "started_at, finished_at: UTC times are expected"),
         (r("started_at") <= r("finished_at"), "finished_at: before started_at"),
         (_all("metrics", finite), "metrics: a name and a finite value are expected"),
