@@ -228,9 +228,14 @@ def text_sentences(spark, sf_dir):
     return s.select("doc_id", "n", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
 
 
+@query()
+def text_negated_scopes(spark, sf_dir):
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.explode(X.negated_scopes("text")).alias("s")).select("doc_id", "s.cue", "s.start", "s.scope", "s.end")
+
+
 @query()
 def text_quantities(spark, sf_dir):
-    return P.table(spark, sf_dir, "documents").select("doc_id", F.explode(X.quantities("text")).alias("q")).select("doc_id", "q.value", "q.unit")
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.explode(X.quantities("text")).alias("q")).select("doc_id", "q.value", "q.unit", "q.start", "q.end", "q.after")
 
 
 @query()
@@ -238,9 +243,8 @@ def support_verdict(spark, sf_dir):
     """Each first sentence against the rest of its text: supported, partial or not found."""
     d = P.table(spark, sf_dir, "documents").select("doc_id", "text", F.get(X.sentences("text"), 0).alias("s"))
     claim, rest = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), F.substring(F.col("text"), F.col("s.end") + 1, F.length("text"))
-    cov = F.when(F.col("s").isNull(), 0.0).otherwise(X.coverage(claim, rest))
-    verdict = F.when(cov >= 0.6, F.when((F.size(X.negations(rest)) > 0) & (F.size(X.negations(claim)) == 0), "partial").otherwise("supported")).when(cov >= 0.34, "partial").otherwise("not_found")
-    return d.select("doc_id", F.round(cov, 6).alias("coverage"), verdict.alias("verdict"))
+    parts = d.select("doc_id", F.when(F.col("s").isNotNull(), claim).alias("claim"), rest.alias("source"))
+    return X.support(parts).select("doc_id", F.round("coverage", 6).alias("coverage"), "verdict")
 
 
 # ---- ingest, mutation, lineage ----------------------------------------------
