@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
-from tracewright.operators import passages, prereg
+from tracewright.operators import ledger, passages, prereg
 
 ARMS = "family string, metric string, name string, value double, ci_low double, ci_high double, members array<string>"
 HYP = "hyp_id string, family string, metric string, expect string, margin double, allow_single_run boolean, registered_at timestamp, content string, digest string"
@@ -67,3 +67,16 @@ def test_passages(spark):
         assert {m for _, _, m in mine} == {"vector" if by_vector else "lexical"}
         key = (lambda n, name=name: (-(want[name, n][1] + n), n)) if by_vector else (lambda n, name=name: (-want[name, n][1], n))
         assert [n for _, n, _ in mine] == sorted([n for k, n in want if k == name], key=key)
+
+
+def test_pooling_vetoes(spark):
+    row = lambda arm, name, seed, split="test", **config: ("f", arm, name, seed, split, config or None)
+    members = [
+        row("good", "good", 1, seed="1", lr="0.1"), row("good", "good-2", 2, seed="2", lr="0.1"), row("good", "good-3", 3), row("seeds", "s1", 1), row("seeds", "s2", 1), row("splits", "p1", 1), row("splits", "p2", 2, None),
+        row("settings", "c1", 1, lr="0.1", depth="2"), row("settings", "c2", 2, lr="0.2"), row("held", "h1", 1), row("held", "h2", 2), row("lent", "held", 1), row("loose", "l1", 4), row("loose", "l2", 4),
+    ]
+    df = spark.createDataFrame(members, "family string, arm string, name string, seed long, split string, config map<string, string>")
+    others = spark.createDataFrame([("f", "loose"), ("g", "good")], "family string, name string")
+    got = {r.arm: (r.veto, r.differing) for r in ledger.pool_vetoes(df, others).collect()}
+    assert got == {"good": (None, ""), "seeds": ("a seed twice", ""), "splits": ("different splits", ""), "settings": ("different settings", "depth,lr"), "held": ("a run has this name", ""), "lent": (None, ""), "loose": ("a run has this name", "")}
+    assert ledger.pool_vetoes(df.limit(0)).count() == 0

@@ -75,6 +75,25 @@ def rank_arms(pooled: DataFrame, lower: bool) -> DataFrame:
     return out.select("family", "arm", "rank", "n_runs", "mean", "sd", "lo", "hi", "gap", d.alias("effect"), caveats.alias("caveats"))
 
 
+def pool_vetoes(members: DataFrame, others: DataFrame | None = None, seed_keys: tuple[str, ...] = ("seed",)) -> DataFrame:
+    """family, arm, veto, differing: why the runs of an arm must not be pooled, null if they may be; differing are the settings that say so.
+
+    members: family, arm, name, seed, split, config (map of setting to its JSON; null where there is none, which is no disagreement).
+    others: family, name of runs that belong to no arm. The first of these counts: another run already has the arm's name, a seed comes twice,
+    the splits differ (none is a split of its own), settings other than seeds differ or are missing from some config."""
+    names = members.select("family", "name", F.col("arm").alias("owner"))
+    if others is not None:
+        names = names.unionByName(others.select("family", "name", F.lit(None).cast("string").alias("owner")))
+    clash = names.filter(~F.col("owner").eqNullSafe(F.col("name"))).select("family", F.col("name").alias("arm")).distinct().withColumn("taken", F.lit(True))
+    arms = members.groupBy("family", "arm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed").alias("seeds"), F.count_distinct(F.coalesce("split", F.lit(""))).alias("splits"), F.count("config").alias("configs"))
+    settings = members.select("family", "arm", F.explode("config").alias("key", "value")).filter(~F.col("key").isin(*seed_keys))
+    per_key = settings.groupBy("family", "arm", "key").agg(F.count(F.lit(1)).alias("said"), F.count_distinct(F.coalesce("value", F.lit("null"))).alias("values"))
+    odd = per_key.join(arms.select("family", "arm", "configs"), ["family", "arm"]).filter("values > 1 OR said < configs").groupBy("family", "arm").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    whole = arms.join(clash, ["family", "arm"], "left").join(odd, ["family", "arm"], "left")
+    veto = F.when(F.col("taken"), "a run has this name").when(F.col("seeds") < F.col("n"), "a seed twice").when(F.col("splits") > 1, "different splits").when(F.col("keys").isNotNull(), "different settings")
+    return whole.select("family", "arm", veto.alias("veto"), F.when(veto == "different settings", F.array_join("keys", ",")).otherwise("").alias("differing"))
+
+
 def last_values(rows: DataFrame) -> DataFrame:
     """The last value of each (run_id, metric), by (step, split), nulls first."""
     last = rows.groupBy("run_id", "metric").agg(F.max_by(F.struct("value", "step", "split"), F.struct(F.coalesce("step", F.lit(-1)), F.coalesce("split", F.lit("")))).alias("last"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import passages, prereg
+from tracewright.operators import ledger, passages, prereg
 from tracewright.plans.library import _STEM, _STOP, _WORDS
 from tracewright.plans.registry import query
 from tracewright.sources import projections as P
@@ -92,3 +92,22 @@ def passage_rerank(spark, sf_dir):
     claim = _claims(spark, sf_dir).select("claim_id", (F.col("source") + 1).alias("vec_id")).join(v, "vec_id").select("claim_id", "embedding")
     wanted = found.filter("n < 40").select("source", "n").distinct().withColumn("vec_id", F.col("source") + F.col("n"))
     return passages.rerank(found, claim, wanted.join(v, "vec_id").select("source", "n", "embedding")).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("""WITH m AS (SELECT 'f' || (o_custkey % 20) AS family, 'c' || o_custkey AS arm, CASE WHEN o_orderkey % 211 = 0 THEN 'c' || (o_custkey + 20) ELSE 'o' || o_orderkey END AS name, o_orderkey % 501 AS seed,
+        CASE WHEN o_custkey % 3 > 0 THEN 'test' WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS split, CASE WHEN o_orderkey % 9 <> 0 THEN CASE WHEN o_custkey % 2 = 0 THEN left(o_orderpriority, 1) ELSE 'x' END END AS lr,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'none' ELSE 'd' END AS depth FROM orders),
+    a AS (SELECT family, arm, count(*) AS n, count(DISTINCT seed) AS seeds, count(DISTINCT coalesce(split, '')) AS splits, count(DISTINCT lr) AS lrs, count(DISTINCT depth) AS depths FROM m GROUP BY family, arm),
+    v AS (SELECT a.*, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.family = a.family AND m.name = a.arm AND m.arm <> a.arm) THEN 'a run has this name' WHEN seeds < n THEN 'a seed twice' WHEN splits > 1 THEN 'different splits'
+        WHEN lrs > 1 OR depths > 1 THEN 'different settings' END AS veto FROM a)
+    SELECT family, arm, veto, CASE WHEN veto = 'different settings' THEN concat_ws(',', CASE WHEN depths > 1 THEN 'depth' END, CASE WHEN lrs > 1 THEN 'lr' END) ELSE '' END AS differing FROM v""")
+def pooling_vetoes(spark, sf_dir):
+    """Customers as arms and their orders as runs, some of which are named like another arm; every ninth has no config, and every seventeenth no depth in it."""
+    key, arm = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    settings = F.create_map(F.lit("seed"), key.cast("string"), F.lit("lr"), F.when(arm % 2 == 0, F.left("o_orderpriority", F.lit(1))).otherwise("x"))
+    config = F.when(key % 9 != 0, F.when(key % 17 == 0, settings).otherwise(F.map_concat(settings, F.create_map(F.lit("depth"), F.lit("d")))))
+    members = P.table(spark, sf_dir, "orders").select(
+        text("f", arm % 20).alias("family"), text("c", arm).alias("arm"), F.when(key % 211 == 0, text("c", arm + 20)).otherwise(text("o", key)).alias("name"), (key % 501).alias("seed"),
+        F.when(arm % 3 > 0, "test").when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("split"), config.alias("config"))
+    return ledger.pool_vetoes(members)
