@@ -70,7 +70,7 @@ def test_passages(spark):
 
 
 def test_pooling_vetoes(spark):
-    row = lambda arm, name, seed, split="test", **config: ("f", arm, name, seed, split, config or None)
+    row = lambda arm, name, seed, split="test", /, **config: ("f", arm, name, seed, split, config or None)
     members = [
         row("good", "good", 1, seed="1", lr="0.1"), row("good", "good-2", 2, seed="2", lr="0.1"), row("good", "good-3", 3), row("seeds", "s1", 1), row("seeds", "s2", 1), row("splits", "p1", 1), row("splits", "p2", 2, None),
         row("settings", "c1", 1, lr="0.1", depth="2"), row("settings", "c2", 2, lr="0.2"), row("held", "h1", 1), row("held", "h2", 2), row("lent", "held", 1), row("loose", "l1", 4), row("loose", "l2", 4),
