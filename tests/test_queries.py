@@ -10,6 +10,7 @@ import tracewright.plans.feed
 import tracewright.plans.judging  # noqa: F401
 import tracewright.plans.ledger
 import tracewright.plans.library  # noqa: F401
+import tracewright.plans.stating  # noqa: F401
 import tracewright.plans.status
 import tracewright.plans.upkeep  # noqa: F401
 from tests.oracle import check
