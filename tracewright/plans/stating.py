@@ -1,9 +1,11 @@
-"""Queries on what sources and payloads state about corpora, and on manifests of results before they are written."""
+"""Queries on what sources and payloads state about corpora, on manifests of results before they are written, and on citations in both directions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import citations
+from tracewright.plans.library import REFS, refs
 from tracewright.plans.registry import query
 from tracewright.sources import corpora, recording
 from tracewright.sources import projections as P
@@ -62,3 +64,29 @@ def record_plan(spark, sf_dir):
     changed = (place == 1) & F.col("path").startswith("results/")
     stored = files.filter((place == 0) | changed).select("path", F.when(changed, F.sha2("path", 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
     return recording.actions(files, stored).select("path", "sha256", "action")
+
+
+# Each row is cited by the two before it, under a name that its residue chooses; every fifth row cites a paper that nobody has, and every ninth a title.
+EDGES = """SELECT ref_id - 1 AS citing_id, CASE ref_id % 4 WHEN 0 THEN identity WHEN 1 THEN 'arxiv:' || arxiv WHEN 2 THEN 'doi:' || doi ELSE 'title:' || title_key || ':' || coalesce(CAST(year AS VARCHAR(9)), '-') END AS cited_identity, 'as cited' AS cited_title FROM refs
+    UNION ALL SELECT ref_id - 2, 'title:' || title_key || ':2003', 'by title' FROM refs WHERE ref_id % 9 = 0 UNION ALL SELECT ref_id, 'doi:10.9/' || (ref_id % 50), 'Stub ' || (ref_id % 50) FROM refs WHERE ref_id % 5 = 0
+    UNION ALL SELECT ref_id, 'old:' || (ref_id % 30), 'merged' FROM refs WHERE ref_id % 6 = 0"""
+
+
+@query(f"""WITH {REFS}, e0 AS ({EDGES}), own AS (SELECT * FROM refs QUALIFY row_number() OVER (PARTITION BY identity ORDER BY ref_id) = 1), alias AS (SELECT 'old:' || (ref_id % 20) AS alias, min(ref_id) AS ref_id FROM own WHERE ref_id % 20 < 10 GROUP BY 1),
+    e AS (SELECT citing_id, cited_identity, min(cited_title) AS cited_title FROM e0 WHERE cited_identity IS NOT NULL AND citing_id IN (SELECT ref_id FROM own) GROUP BY citing_id, cited_identity), asked AS (SELECT DISTINCT cited_identity AS c FROM e),
+    hit AS (SELECT c, 0 AS rung, 0 AS ny, ref_id FROM asked JOIN own ON c = identity UNION ALL SELECT c, 1, 0, ref_id FROM asked JOIN own ON c = 'doi:' || doi UNION ALL SELECT c, 2, 0, ref_id FROM asked JOIN own ON c = 'arxiv:' || arxiv
+        UNION ALL SELECT c, 3, CAST(o.year IS NULL AS INT), ref_id FROM (SELECT c, regexp_extract(c, '^title:(.*):[^:]*$', 1, 's') AS k, TRY_CAST(regexp_extract(c, ':([0-9]+)$', 1) AS INT) AS y FROM asked WHERE starts_with(c, 'title:')) t
+            JOIN own o ON k <> '' AND k = title_key AND (o.year IS NULL OR y IS NULL OR o.year = y)
+        UNION ALL SELECT c, 4, 0, ref_id FROM asked JOIN alias ON c = alias),
+    best AS (SELECT c, ref_id AS other_id FROM hit QUALIFY row_number() OVER (PARTITION BY c ORDER BY rung, ny, ref_id) = 1),
+    n AS (SELECT citing_id AS ref_id, 'cites' AS direction, cited_identity AS identity, CASE WHEN other_id IS NOT NULL THEN o.title ELSE cited_title END AS title, other_id IS NOT NULL AS in_library, other_id FROM e LEFT JOIN best ON c = cited_identity LEFT JOIN own o ON o.ref_id = other_id
+        UNION ALL SELECT DISTINCT t.ref_id, 'cited_by', f.identity, f.title, true, f.ref_id FROM e JOIN own t ON cited_identity IN (t.identity, 'doi:' || t.doi, 'arxiv:' || t.arxiv) JOIN own f ON f.ref_id = citing_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ref_id, direction ORDER BY NOT in_library, starts_with(identity, 'title:'), lower(coalesce(title, '')), identity, other_id) AS place, count(*) OVER (PARTITION BY ref_id, direction) AS total FROM n)
+    SELECT ref_id, direction, place, identity, title, in_library, other_id, total FROM r WHERE place <= {citations.MOST}""")
+def citation_neighbours(spark, sf_dir):
+    """Both directions for the first row of each identity, some of which other names point at."""
+    rows = refs(spark, sf_dir)
+    rows.createOrReplaceTempView("refs")
+    own = rows.join(rows.groupBy("identity").agg(F.min("ref_id").alias("ref_id")).select("ref_id"), "ref_id", "left_semi")
+    aliases = own.filter("ref_id % 20 < 10").groupBy(F.concat(F.lit("old:"), (F.col("ref_id") % 20).cast("string")).alias("alias")).agg(F.min("ref_id").alias("ref_id"))
+    return citations.neighbours(own, spark.sql(EDGES), aliases)
