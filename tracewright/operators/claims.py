@@ -33,9 +33,9 @@ def verdicts(claims: DataFrame, runs: DataFrame, metrics: DataFrame) -> DataFram
 
 
 def uncovered(numbers: DataFrame, claimed: DataFrame) -> DataFrame:
-    """doc_id, numbers, uncovered: a number is covered by a claim within its tolerance. Claims go into every cell that their tolerance reaches."""
+    """doc_id, numbers, uncovered: a number is covered by a claim within its tolerance. Claims go into every cell that their tolerance reaches, and a little beyond, as sums are rounded."""
     tol = F.greatest("tol", F.lit(1e-9))
-    cells = claimed.select("claimed", tol.alias("tol"), F.explode(F.sequence(F.floor((F.col("claimed") - tol) / CELL), F.floor((F.col("claimed") + tol) / CELL))).alias("cell"))
+    cells = claimed.select("claimed", tol.alias("tol"), F.explode(F.sequence(F.floor((F.col("claimed") - tol) / CELL - 1e-6), F.floor((F.col("claimed") + tol) / CELL + 1e-6))).alias("cell"))
     own = numbers.select("value").distinct().withColumn("cell", F.floor(F.col("value") / CELL))
     covered = own.join(cells, "cell").filter(F.abs(F.col("value") - F.col("claimed")) <= F.col("tol")).select("value").distinct().withColumn("covered", F.lit(1))
     return numbers.join(covered, "value", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("numbers"), F.count_if(F.col("covered").isNull()).alias("uncovered"))

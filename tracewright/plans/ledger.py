@@ -234,9 +234,9 @@ def claims_wildcard(spark, sf_dir):
     SELECT doc_id, count(*) AS numbers, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t WHERE abs(v.value - t.claimed) <= greatest(t.tol, 1e-9))) AS uncovered FROM v GROUP BY doc_id""")
 def claims_coverage(spark, sf_dir):
     """Numbers of each text that no claim covers within its tolerance."""
-    masked = F.regexp_replace("text", r"https?://\S*", " ")
+    masked = F.regexp_replace("text", r"https?://[^\t\n\f\r ]*", " ")
     numbers = P.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(masked, F.lit(r"(-?\d+\.\d+)"), 1)).alias("number")).select("doc_id", F.col("number").cast("double").alias("value"))
-    claimed = spark.range(500).select((F.lit(0.1) * F.col("id")).alias("claimed"), F.lit(0.02).alias("tol"))
+    claimed = spark.range(500).select((F.col("id").cast("double") / 10).alias("claimed"), F.lit(0.02).alias("tol"))
     return C.uncovered(numbers, claimed)
 
 
