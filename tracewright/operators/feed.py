@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracewright.functions.shared import settled
 from tracewright.functions.vectors import dot
 from tracewright.operators.ranking import average_ranks, positions
 
@@ -182,14 +184,77 @@ def digest_budget(sizes: DataFrame, per_topic: int, budget: int) -> DataFrame:
     return top.withColumn("shown", F.least("n", F.lit(per_topic), F.lit(budget) - spent)).filter("shown > 0")
 
 
-def jaccard_nearest(words: DataFrame) -> DataFrame:
-    """user_id, other, similarity: the user that shares most of their words (user_id, word), through the words themselves."""
-    own = words.distinct()
-    size = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    both = own.alias("a").join(own.alias("b"), F.col("a.word") == F.col("b.word")).filter("a.user_id <> b.user_id").groupBy(F.col("a.user_id").alias("user_id"), F.col("b.user_id").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-    scored = both.join(size, "user_id").join(size.select(F.col("user_id").alias("other"), F.col("n").alias("m")), "other").withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
-    best = F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), "other"))
-    return scored.groupBy("user_id").agg(best.alias("b")).select("user_id", "b.other", "b.similarity")
+def jaccard_nearest(words: DataFrame, rows: int = 8192, step: int = 1024, wide: int = 4096) -> DataFrame:
+    """user_id, other, similarity: the user that shares most of their words (user_id, word), ties by the least id; none for users that share no word with anyone.
+
+    Users with the same words are one class: in one of several the nearest is its least other member. The others, and all classes, are dealt into blocks of
+    about ``rows``; every two blocks count what they share by products of ``step`` users and ``wide`` words at a time, and yield a row for each user. So no pair
+    of users is ever a row, however common a word is.
+    """
+    own = words.filter("user_id IS NOT NULL AND word IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    first = F.min("user_id")
+    classes = settled(own.groupBy("words").agg(first.alias("user_id"), F.count(F.lit(1)).alias("n")), "jaccard-classes")
+    several = classes.filter("n > 1")
+    members = own.join(several.select("words", F.col("user_id").alias("least")), "words").select("user_id", "least")
+    second = members.filter("user_id <> least").groupBy("least").agg(F.min("user_id").alias("second"))
+    alike = members.join(second, "least").select("user_id", F.when(F.col("user_id") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("other"), F.lit(1.0).alias("similarity"))
+
+    alone = classes.filter("n = 1")
+    n_left, n_right = max(1, -(-alone.count() // rows)), max(1, -(-classes.count() // rows))
+    place = lambda n: F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = alone.select("user_id", "words", place(n_left).alias("i"), every(n_right).alias("j"))
+    right = classes.select(F.col("user_id").alias("other"), F.col("words").alias("theirs"), place(n_right).alias("j"), every(n_left).alias("i"))
+    schema = T.StructType([T.StructField("user_id", own.schema["user_id"].dataType), T.StructField("other", own.schema["user_id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def best(_, a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"user_id": [], "other": [], "similarity": []})
+        b = b.rename(columns={"other": "user_id", "theirs": "words"}).sort_values("user_id")
+        sizes = [t["words"].map(len).to_numpy() for t in (a, b)]
+        flat = [np.concatenate(t["words"].to_list()) for t in (a, b)]
+        common = np.intersect1d(*flat)
+        coded = []
+        for n, values in zip(sizes, flat, strict=True):
+            at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+            there = common[at] == values if len(common) else np.zeros(len(values), dtype=bool)
+            coded.append((np.repeat(np.arange(len(n)), n)[there], at[there]))
+
+        def marks(which, low, high, start):
+            r, c = coded[which]
+            pick = (r >= low) & (r < high) & (c >= start) & (c < start + wide)
+            m = np.zeros((high - low, min(wide, len(common) - start)), dtype=np.float32)
+            m[r[pick] - low, c[pick] - start] = 1
+            return m
+
+        keys = [t["user_id"].to_numpy() for t in (a, b)]
+        out = []
+        for u in range(0, len(a), step):
+            rows_a = slice(u, min(u + step, len(a)))
+            near, other = np.zeros(rows_a.stop - u), np.zeros(rows_a.stop - u, dtype=np.int64)
+            for v in range(0, len(b), step):
+                rows_b = slice(v, min(v + step, len(b)))
+                shared = np.zeros((rows_a.stop - u, rows_b.stop - v), dtype=np.float32)
+                for start in range(0, len(common), wide):
+                    shared += marks(0, u, rows_a.stop, start) @ marks(1, v, rows_b.stop, start).T
+                x, y = np.nonzero(keys[0][rows_a, None] == keys[1][None, rows_b])
+                shared[x, y] = 0
+                likeness = shared.astype(np.float64)
+                likeness /= sizes[0][rows_a, None] + sizes[1][None, rows_b] - likeness
+                top = likeness.argmax(1)  # the first of equal ones, which has the least id
+                value = likeness[np.arange(len(top)), top]
+                more = value > near
+                near[more], other[more] = value[more], v + top[more]
+            hit = near > 0
+            out.append(pd.DataFrame({"user_id": keys[0][rows_a][hit], "other": keys[1][other[hit]], "similarity": near[hit]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, schema)
+    nearest = F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), "other"))
+    return alike.unionByName(found.groupBy("user_id").agg(nearest.alias("b")).select("user_id", "b.other", "b.similarity"))
 
 
 def suggest_sources(clicks: DataFrame, tags: DataFrame, sources: DataFrame, limit: int = 5) -> DataFrame:
