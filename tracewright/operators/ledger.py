@@ -47,6 +47,13 @@ def first_write_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
     return rows.groupBy("run_id", "metric", "step", "split").agg(F.min_by("value", order).alias("value"))
 
 
+def first_rows(rows: DataFrame, values: dict[str, str], order: str = "ord") -> DataFrame:
+    """The same where each row (run_id, step, split) writes all metrics of values (metric: column) at once: the first row is found once, not once for each metric."""
+    first = rows.groupBy("run_id", "step", "split").agg(F.min_by(F.struct(*[F.col(c).alias(m) for m, c in values.items()]), order).alias("first"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"first.{m}").alias("value")) for m in values]))
+    return first.select("run_id", "step", "split", each.alias("m")).select("run_id", "m.metric", "step", "split", "m.value")
+
+
 def best_steps(values: DataFrame, lower: bool) -> DataFrame:
     """run_id, step, split, value: the best value of the most trusted split that a run has; ties go to the earliest step."""
     signed = F.col("value") if lower else -F.col("value")
