@@ -8,8 +8,8 @@ Each stage takes what the one before it kept and returns the columns of
   that was not learned gets the nearest learned one and stays.
 * lines: lines that at least three documents share stay in one of them; texts
   and n_chars change, and no document goes.
-* near_copies: of each group of near copies (distinct runs of five words with a
-  Jaccard similarity of 0.8 or more, by links) one row stays, that with the smallest
+* near_copies: of each group of near copies (operator 9's links at 4 or fewer bits,
+  and a Jaccard similarity of 0.8 or more of distinct runs of five words) one row stays, that with the smallest
   id; null ids come last, and rows with one id in the order of a hash of the text,
   then of the other columns. Rows are told apart by their place, not by their id.
 * packing: whole documents into sequences of at most 4096 tokens.
@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import langid, line_dedup, minhash, packing, quality
+from tracewright.llm import langid, line_dedup, minhash, packing, quality, simhash
+from tracewright.llm.components import connected_components
 from tracewright.llm.queries import VOCABULARY, language_model, quality_model
 from tracewright.llm.shared import settle, table
 
@@ -48,7 +49,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = settle(spark, docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
     order = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"), "row").alias("order"))
-    stays = minhash.near_groups(spark, rows).join(order, "row").groupBy("component").agg(F.min("order").alias("order"))
+    # Operator 9 finds what lies within its radius; links that it can't see (a similarity of 0.8 is mostly beyond it) come on top, and groups of both are joined.
+    by_bits = settle(spark, simhash.near_groups(spark, rows, id_col="row").select(F.col("component_id").alias("a"), F.col("id").alias("b")), "pipeline-bits")
+    by_words = settle(spark, minhash.near_groups(spark, rows), "pipeline-words")
+    ends = by_words.groupBy("component").agg(F.min("row").alias("least"))
+    links = settle(spark, by_bits.unionByName(by_words.join(ends, "component").select(F.col("least").alias("a"), F.col("row").alias("b"))).filter("a <> b"), "pipeline-links")
+    groups = order.join(connected_components(spark, links), F.col("row") == F.col("node"), "left").select(F.coalesce("component", "row").alias("component"), "order")
+    stays = groups.groupBy("component").agg(F.min("order").alias("order"))
     return rows.join(stays.select("order.row"), "row", "left_semi").select(*COLUMNS)
 
 
