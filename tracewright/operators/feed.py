@@ -150,10 +150,13 @@ def search(items: DataFrame, semantic: DataFrame, profile_similarity: DataFrame,
 
 def search_each(items: DataFrame, semantic: DataFrame, queries: DataFrame, profile_similarity: DataFrame, needle: str) -> DataFrame:
     """query_id, item_id, score, how: the same for each query_id of queries; literal hits belong to all of them, and items that are no hit of any aren't paired."""
-    hits = _literal_hits(items, needle)
-    pairs = hits.filter("b").select("item_id").crossJoin(queries.select("query_id")).select("query_id", "item_id").union(semantic.select("query_id", "item_id")).distinct()
-    rows = pairs.join(hits, "item_id").join(semantic, ["query_id", "item_id"], "left").join(profile_similarity, "item_id", "left")
-    return rows.select("query_id", "item_id", *_blended())
+    rows = _literal_hits(items, needle).filter("item_id IS NOT NULL").join(profile_similarity, "item_id", "left")
+    near = rows.join(semantic.select("query_id", "item_id", "similarity"), "item_id")
+    # Literal hits meet the ids of the queries where they are: pairs are written, and not shuffled.
+    met = semantic.groupBy("item_id").agg(F.collect_set("query_id").alias("met"))
+    literal = rows.filter("b").join(met, "item_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<long>")))
+    far = literal.crossJoin(F.broadcast(queries.select("query_id").distinct())).filter(~F.array_contains("met", F.col("query_id"))).withColumn("similarity", F.lit(None).cast("double"))
+    return near.select("query_id", "item_id", *_blended()).unionByName(far.select("query_id", "item_id", *_blended()))
 
 
 def _literal_hits(items: DataFrame, needle: str) -> DataFrame:
