@@ -49,3 +49,11 @@ def test_pairs_are_not_shuffled(spark):
     pairs = _searched(spark)
     assert _rows_joined(pairs) > 8000
     assert _shuffled(pairs) < 2000
+
+
+def test_a_block_scores_a_few_queries_at_a_time(spark, monkeypatch):
+    vectors = spark.range(150).selectExpr("id AS item_id", "array(cos(id), sin(id)) AS embedding")
+    queries = spark.range(0, 150, 2).selectExpr("id AS query_id", "array(cos(id), sin(id)) AS embedding")
+    whole = sorted(map(tuple, feed.nearest_each(vectors, queries, 5).collect()))
+    monkeypatch.setattr(feed, "SLICE", 4)  # fails where blocks aren't cut
+    assert sorted(map(tuple, feed.nearest_each(vectors, queries, 5).collect())) == whole and len(whole) == 75 * 5

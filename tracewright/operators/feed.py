@@ -103,6 +103,10 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("item_id", F.round(dot(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "item_id").limit(k)
 
 
+# Queries of a block that are scored at once.
+SLICE = 64
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 8192, block: int = 1024) -> DataFrame:
     """query_id, item_id, similarity: of each of queries (query_id, embedding) the k best of all unit vectors (item_id, embedding, and
     bonus, which counts on top, where there is one). Blocks of vectors meet blocks of queries and yield k each."""
@@ -120,10 +124,13 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 819
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
         a = a.sort_values("item_id")
-        near = np.round(np.stack(b["embedding"].to_list()) @ np.stack(a["embedding"].to_list()).T, 6)
-        near = np.round(near + a["bonus"].to_numpy(), 6)
-        top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), top.shape[1]), "item_id": a["item_id"].to_numpy()[top.ravel()], "similarity": np.take_along_axis(near, top, 1).ravel()})
+        ids, bonuses, vectors = a["item_id"].to_numpy(), a["bonus"].to_numpy(), np.stack(a["embedding"].to_list()).T
+        asked, points, out = b["query_id"].to_numpy(), np.stack(b["embedding"].to_list()), []
+        for at in range(0, len(asked), SLICE):  # a few queries at a time, as each has a score for every vector of the block
+            near = np.round(np.round(points[at : at + SLICE] @ vectors, 6) + bonuses, 6)
+            top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(asked[at : at + SLICE], top.shape[1]), "item_id": ids[top.ravel()], "similarity": np.take_along_axis(near, top, 1).ravel()}))
+        return pd.concat(out)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query_id long, item_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
