@@ -98,16 +98,24 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method."""
+    """Weights and, last, the intercept, by Newton's method. A step is halved until the loss falls: where the classes all but part, whole steps overshoot and run away."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (w @ w)
+
+    was = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         grad = x.T @ (p - y) + ridge * w
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-        w -= step
+        while (now := loss(w - step)) > was and np.abs(step).max() >= 1e-9:
+            step /= 2
         if np.abs(step).max() < 1e-9:
             break
+        w, was = w - step, now
     return w
 
 
